@@ -9,6 +9,27 @@ from pyspark.sql import DataFrame, SparkSession
 from kithline.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithline.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithline.llm import langid
+
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithline.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithline.llm.bpe_automaton import encode_texts
 
@@ -22,6 +43,9 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
+    "op2_language_id": op2_language_id,
+    "op3_quality_rules": op3_quality_rules,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op5_token_counts": op5_token_counts,
 }
