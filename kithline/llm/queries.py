@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from kithline.llm import decontaminate, line_dedup
 from kithline.llm.common import table
 
 
@@ -42,6 +43,18 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithline.llm.line_dedup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from kithline.llm.decontaminate import judge
+
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kithline.llm.html_text import extract
 
@@ -54,7 +67,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_bpe_automaton": op4_bpe_automaton,
     "op5_token_counts": op5_token_counts,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_decontamination": op9_decontamination,
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
