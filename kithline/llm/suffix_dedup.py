@@ -230,7 +230,7 @@ def refined(classes: DataFrame, step: int, length: int = LENGTH) -> DataFrame:
     runs of the same number and have the same bytes in common.
     """
     last = F.expr(f"first + length(piece) - {length}")
-    cut = classes.withColumn("run", F.explode(F.sequence(F.floor(F.col("first") / step), F.floor(last / step))).cast("int"))
+    cut = classes.withColumn("run", F.explode(F.sequence(F.floor(F.col("first") / step).cast("int"), F.floor(last / step).cast("int"))))
     cut = cut.withColumn("a", F.greatest(F.col("first"), F.col("run") * step)).withColumn("b", F.least(last + 1, (F.col("run") + 1) * step))
     core = F.expr(f"substring(piece, (run + 1) * {step} - first, {length} - {step} + 1)")
     return cut.select(
