@@ -8,6 +8,7 @@ texts, and the last stage returns token ids and the text decoded from them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kithline.llm.common import table
 
@@ -23,7 +24,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without chunks that an earlier document has."""
     from kithline.llm import line_dedup
 
-    return line_dedup.clean(docs)
+    cleaned = line_dedup.clean(docs)
+    return cleaned.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else cleaned
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
