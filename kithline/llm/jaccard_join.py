@@ -12,13 +12,15 @@ cells of the first n - ceil(0.75 n) + l shingles of both, and at least l times.
 Shingles that a fixed-size sketch shows to be frequent come last in the order, so
 common lines and passages open no cells of their own.
 
-*Second level.* A cell of up to ``CELL`` sets is joined whole; of a larger one the
-first ``PIVOTS`` members are document pivots: every member's exact distance to
-them is taken, balls of radius 0.25 join the pivot's component, and what stands
-outside the largest component becomes pivots of the next round, against the members
-whose distance to the cell's first pivot differs by at most 0.25 (the triangle
-inequality). It goes on until no member is left to be a pivot: no link between
-different components is lost, and links inside one need not be listed.
+*Second level.* Balls come first: sets with a common smallest hash are measured
+against the first of them, a pivot, and those within 0.25 of it are one component.
+A cell then needs only pairs of different components: members outside its largest
+component meet all others. If those are more than ``CELL``, some of them become
+document pivots of the cell, against the members whose distance to the cell's first
+pivot differs by at most 0.25 from theirs (the triangle inequality); balls join
+components, and it goes on with more pivots until no member outside the largest
+component is left: no link between different components is lost, and links inside
+one need not be listed.
 
 Candidates that meet at least l times are compared on their whole sets, which
 travel once to a block of candidates around a common neighbour. Equal sets are one
@@ -48,11 +50,13 @@ from kithline.llm.components import components
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 75
-#: Sets of a cell that are joined whole, pivots of a larger one, cells of the sketch and of a slice of it.
+#: Members of a cell outside its largest component that are joined whole, pivots of a larger one, cells of the sketch and of a slice of it.
 CELL, PIVOTS, SKETCH_BITS, SLICE_BITS = 96, 8, 23, 17
 #: Postings of a bucket, sets of a block, candidate classes sent as a sorted array.
 BUCKET_POSTINGS, BLOCK_SETS, MOST_SENT = 400_000, 2_000, 1_000_000
-_CHUNK = 3 << 20
+#: Smallest hashes that seed the components.
+HASHES = 4
+_CHUNK = 2 << 20
 _SIZE_STEP = 1.07
 
 
@@ -110,14 +114,31 @@ def prefix_sizes(n: np.ndarray, similarity: int = SIMILARITY) -> np.ndarray:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, set (identity, null if empty) and n_shingles of each row."""
+    """doc_id, set (identity, null if empty), n_shingles and the smallest hashes of each row."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        from kithline.llm.textscan import mix
+
         s, doc, n = shingle_sets(batch.column("text"))
         ident = set_identity(s, doc, n).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ident, mask=n == 0), pa.array(n)], ["doc_id", "set", "n_shingles"])
+        some = np.flatnonzero(n)
+        heads = np.concatenate([[0], np.cumsum(n)[:-1]])[some].astype(np.int64)
+        least = np.zeros((len(n), HASHES), np.int64)
+        if len(some):
+            for k in range(HASHES):
+                least[some, k] = np.minimum.reduceat(mix(s + np.uint64(k + 1)), heads).view(np.int64)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * HASHES, pa.int32()), pa.array(least.ravel()))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ident, mask=n == 0), pa.array(n), flat], ["doc_id", "set", "n_shingles", "hashes"])
+
+    return arrow_map(docs.select("doc_id", "text"), work, "doc_id bigint, set bigint, n_shingles bigint, hashes array<bigint>")
+
 
-    return arrow_map(docs.select("doc_id", "text"), work, "doc_id bigint, set bigint, n_shingles bigint")
+def seeds(own: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with a common smallest hash and the first set that has it: where near copies are likely. Only speeds up what follows."""
+    rows = own.where("set is not null").select("set", "hashes", F.col("n_shingles").alias("n")).distinct().select("set", "n", F.posexplode("hashes").alias("k", "h"))
+    first = rows.groupBy("k", "h").agg(F.min("set").alias("a"), F.count("*").alias("of")).where("of > 1").select("k", "h", "a")
+    pairs = rows.select(F.col("set").alias("b"), F.col("n").alias("nb"), "k", "h").join(first, ["k", "h"]).where("a < b").select("a", "b").distinct()
+    return pairs
 
 
 def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -169,8 +190,23 @@ def _dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> list[tuple[int, list
     return [(int(bucket[a]), [x[order[a:b]] for x in arrays]) for a, b in zip(heads.tolist(), ends.tolist())]
 
 
-def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
-    """The first shingles of each set with its identity and size code, packed by bucket of the shingle."""
+def named(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
+    """text and component, if labels are too many to travel as sorted arrays; else text and those arrays."""
+    if labels.count() <= most_sent:
+        rows = labels.collect()
+        node = np.array([r["node"] for r in rows], np.int64).view(np.uint64)
+        order = np.argsort(node)
+        return docs.select("text").where("text is not null"), (node[order], np.array([r["component"] for r in rows], np.int64).view(np.uint64)[order])
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        s, doc, n = shingle_sets(batch.column("text"))
+        return pa.RecordBatch.from_arrays([batch.column("text"), pa.array(set_identity(s, doc, n).view(np.int64))], ["text", "node"])
+
+    return arrow_map(docs.select("text").where("text is not null"), work, "text string, node bigint").join(labels, "node", "left").select("text", F.coalesce("component", "node").alias("component")), None
+
+
+def postings(texts: DataFrame, labels: tuple[np.ndarray, np.ndarray] | None, hot: np.ndarray, buckets: int) -> DataFrame:
+    """The first shingles of each set with its identity, component and size code, packed by bucket of the shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kithline.llm.textscan import chunks
@@ -179,6 +215,11 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
             for part in chunks(batch, "text", _CHUNK):
                 s, doc, n = shingle_sets(part.column("text"))
                 ident, code = set_identity(s, doc, n), size_code(n)
+                if labels is None:
+                    comp = part.column("component").to_numpy(zero_copy_only=False).view(np.uint64)
+                else:
+                    at = np.minimum(np.searchsorted(labels[0], ident), max(len(labels[0]) - 1, 0))
+                    comp = np.where(labels[0][at] == ident, labels[1][at], ident) if len(labels[0]) else ident
                 _, own = np.unique(ident, return_index=True)  # equal sets of a slice open their cells once
                 once = np.zeros(len(n), bool)
                 once[own] = True
@@ -193,11 +234,11 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
                 first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
                 keep = np.arange(len(s)) - first[doc] < prefix_sizes(n)[doc]
                 s, doc = s[keep], doc[keep]
-                rows = _dealt((s % np.uint64(buckets)).astype(np.int32), [s, ident[doc], code[doc]])
+                rows = _dealt((s % np.uint64(buckets)).astype(np.int32), [s, ident[doc], comp[doc], code[doc]])
                 if rows:
-                    yield _blobs(rows, ["s", "ident", "code"])
+                    yield _blobs(rows, ["s", "ident", "comp", "code"])
 
-    return docs.select("text").where("text is not null").mapInArrow(run, "bucket int, s binary, ident binary, code binary")
+    return texts.mapInArrow(run, "bucket int, s binary, ident binary, comp binary, code binary")
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], kinds: list[tuple[str, type]]) -> Iterator[list[np.ndarray]]:
@@ -234,33 +275,53 @@ def _fitting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def meetings(post: DataFrame, buckets: int, pair_buckets: int) -> DataFrame:
-    """Packed candidates (a < b with how often they met), and the members (cell, set) of crowded cells in rows of bucket -1."""
+    """Packed candidates (a < b of different components, and how often they met), and the members (cell, set) of crowded cells in rows of bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for s, ident, code in _by_bucket(batches, [("s", np.uint64), ("ident", np.uint64), ("code", np.uint8)]):
-            order = np.lexsort((ident, s))
-            s, ident, code = s[order], ident[order], code[order]
+        for s, ident, comp, code in _by_bucket(batches, [("s", np.uint64), ("ident", np.uint64), ("comp", np.uint64), ("code", np.uint8)]):
+            order = np.lexsort((ident, comp, s))
+            s, ident, comp, code = s[order], ident[order], comp[order], code[order]
             new = np.ones(len(s), bool)
             new[1:] = (s[1:] != s[:-1]) | (ident[1:] != ident[:-1])
-            s, ident, code = s[new], ident[new], code[new]
+            s, ident, comp, code = s[new], ident[new], comp[new], code[new]
+            if not len(s):
+                continue
+            # members outside the largest component of a cell come first; only they need partners
+            kind = np.ones(len(s), bool)
+            kind[1:] = (s[1:] != s[:-1]) | (comp[1:] != comp[:-1])
+            heads = np.flatnonzero(kind)
+            run_size = np.diff(np.append(heads, len(s)))
+            by_size = np.lexsort((run_size, s[heads]))
+            last = np.append(s[heads][by_size][1:] != s[heads][by_size][:-1], True)
+            main = np.zeros(len(heads), bool)
+            main[by_size[last]] = True
+            main = np.repeat(main, run_size)
+            order = np.lexsort((main, s))
+            s, ident, comp, code, main = s[order], ident[order], comp[order], code[order], main[order]
             start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             size = np.diff(np.append(start, len(s)))
-            start, size = start[size > 1], size[size > 1]
-            crowded = size > CELL
+            outer = np.add.reduceat((~main).astype(np.int64), start)
+            start, size, outer = start[outer > 0], size[outer > 0], outer[outer > 0]
+            crowded = outer > CELL
             found: list[tuple[np.ndarray, ...]] = []
-            cuts = np.flatnonzero(np.diff(np.cumsum(np.where(crowded, PIVOTS * size, size * size // 2)) // 2_000_000, prepend=-1))
-            for x, y in zip(cuts, np.append(cuts[1:], len(start))):
-                i, j = _pairs_within(start[x:y], size[x:y], np.where(crowded[x:y], PIVOTS, size[x:y] - 1))
-                ok = _fitting(code[i], code[j])
-                found.append(_merged(ident[i[ok]], ident[j[ok]], np.ones(int(ok.sum()), np.int32), code[i[ok]], code[j[ok]]))
+            whole, n, reach = start[~crowded], size[~crowded], outer[~crowded]
+            work = np.cumsum(reach * n)
+            for lot in range(int(work[-1] // 1_000_000) + 1 if len(work) else 0):
+                own = work // 1_000_000 == lot
+                i, j = _pairs_within(whole[own], n[own], reach[own])
+                ok = (comp[i] != comp[j]) & _fitting(code[i], code[j])
+                i, j = i[ok], j[ok]
+                low = ident[i] < ident[j]
+                i, j = np.where(low, i, j), np.where(low, j, i)
+                found.append(_merged(ident[i], ident[j], np.ones(len(i), np.int32), code[i], code[j]))
             if found:
-                a, b, n, ca, cb = _merged(*(np.concatenate(x) for x in zip(*found)))
-                rows = _dealt(((a ^ b) % np.uint64(pair_buckets)).astype(np.int32), [a, b, n, ca, cb])
+                a, b, met, ca, cb = _merged(*(np.concatenate(x) for x in zip(*found)))
+                rows = _dealt(((a ^ b) % np.uint64(pair_buckets)).astype(np.int32), [a, b, met, ca, cb])
                 if rows:
                     yield _blobs(rows, ["a", "b", "n", "ca", "cb"])
             if crowded.any():
-                which = np.repeat(start[crowded], size[crowded])
-                at = which + np.arange(len(which)) - np.repeat(np.cumsum(size[crowded]) - size[crowded], size[crowded])
+                first, n = start[crowded], size[crowded]
+                at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 none = np.zeros(0, np.uint8)
                 yield _blobs([(-1, [s[at], ident[at], none, none, none])], ["a", "b", "n", "ca", "cb"])
 
@@ -370,14 +431,19 @@ def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint, linked boolean, distance double")
 
 
-def linked_sets(docs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """node (set), component for all sets that link with another."""
+def linked_sets(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """node (set), component for all sets that link with another. own: the classes of docs."""
+    sizes = own.where("set is not null").select("set", "n_shingles").distinct()
     hot, total = frequent(docs)
     buckets = max(8, -(-total * 32 // (100 * BUCKET_POSTINGS)))
     pair_buckets = max(8, buckets // 4)
-    met = written(meetings(postings(docs, hot, buckets), buckets, pair_buckets), "met")
-    known = written(distances(written(candidates(met, pair_buckets), "candidates"), docs), "distances")
+    known = written(distances(written(seeds(own), "seeds"), docs), "distances")
     labels = components(known.where("linked").select("a", "b"))
+    met = written(meetings(postings(*named(docs, labels), hot, buckets), buckets, pair_buckets), "met")
+    fresh = written(candidates(met, pair_buckets).join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    if not fresh.isEmpty():
+        known = written(known.unionByName(distances(fresh, docs)), "distances")
+        labels = components(known.where("linked").select("a", "b"))
     members = written(crowded_members(met), "members")
     if members.isEmpty():
         return labels
@@ -421,8 +487,7 @@ def linked_sets(docs: DataFrame, sizes: DataFrame) -> DataFrame:
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     own = written(classes(docs), "classes")
-    sets = own.where("set is not null").select("set", "n_shingles").distinct()
-    labels = linked_sets(docs, sets)
+    labels = linked_sets(docs, own)
     # each set's linked component; sets without links are their own
     named = own.where("set is not null and doc_id is not null").join(labels.withColumnRenamed("node", "set"), "set", "left").select("doc_id", F.coalesce("component", "set").alias("group"))
     least = written(named.groupBy("group").agg(F.min("doc_id").alias("least")), "least")
