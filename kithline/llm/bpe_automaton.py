@@ -28,15 +28,16 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kithline.llm.common import arrow_map
 
-#: The words kept with their encodings in a task; beyond it the table starts anew.
-WORD_TABLE = 400_000
+#: The words kept with their encodings in a task: this many newer ones and as many older ones.
+WORD_TABLE = 80_000
 #: The arcs kept in a task.
-ARC_TABLE = 2_000_000
+ARC_TABLE = 400_000
 _END = "\0"
 #: Characters below this, but for one, are classed and folded alike by Python and the tokenizer library.
 _PLAIN_BELOW = "԰"
@@ -146,7 +147,7 @@ class TokenAutomaton:
             t = self.ids.get(s[at : at + size])
             if t is not None:
                 if most <= len(key) or at + len(key) == len(s):
-                    if len(self._starts) >= ARC_TABLE // 4:
+                    if len(self._starts) >= ARC_TABLE // 2:
                         self._starts.clear()
                     self._starts[key] = (t, size)
                 return t, size
@@ -212,6 +213,7 @@ class WordTokenizer:
         self.words = plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.labels = str.maketrans({chr(b): c for b, c in enumerate(byte_labels())})
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def split(self, text: str) -> list[str]:
         """Normalised words of a text without special strings."""
@@ -225,10 +227,12 @@ class WordTokenizer:
         """Number of ids, the ids and the labels of one word, as text."""
         got = self.known.get(word)
         if got is None:
-            path = self.automaton.encode_word(word.encode().decode("latin-1").translate(self.labels))
-            got = (len(path), " ".join(map(str, path)), " ".join(self.automaton.decode(path)))
+            got = self.older.get(word)
+            if got is None:
+                path = self.automaton.encode_word(word.encode().decode("latin-1").translate(self.labels))
+                got = (len(path), " ".join(map(str, path)), " ".join(self.automaton.decode(path)))
             if len(self.known) >= WORD_TABLE:
-                self.known.clear()
+                self.known, self.older = {}, self.known
             self.known[word] = got
         return got
 
@@ -268,7 +272,9 @@ def encode_texts(docs: DataFrame, name: str = "word_bpe_49k.json", with_ids: boo
         cols = [batch.column("doc_id"), pa.array([x[0] for x in got], pa.int64()), sha(1), sha(2)]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            cols += [pa.array([[int(i) for i in x[1].split()] for x in got], pa.list_(pa.int32())), pa.array([x[2] for x in got], pa.string())]
+            ids = np.array(" ".join([x[1] for x in got if x[0]]).split(), np.int32)
+            ends = np.concatenate([[0], np.cumsum([x[0] for x in got])])
+            cols += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids)), pa.array([x[2] for x in got], pa.string())]
             names += ["ids", "decoded"]
         return pa.RecordBatch.from_arrays(cols, names)
 

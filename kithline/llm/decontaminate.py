@@ -37,7 +37,7 @@ from kithline.llm.common import arrow_map
 
 WINDOW = 13
 #: Words of test items that travel to the tasks at once, and bytes of text in a shard.
-BLOCK_WORDS, SHARD_BYTES = 1_000_000, 4 << 20
+BLOCK_WORDS, SHARD_BYTES = 1_000_000, 2 << 20
 
 
 def scan(texts: pa.Array):

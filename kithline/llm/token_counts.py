@@ -24,7 +24,7 @@ from kithline.llm.bpe_automaton import _PLAIN_BELOW, byte_labels, plain_pattern
 from kithline.llm.common import arrow_map
 
 #: Distinct pre-tokens kept with their piece counts in a task; beyond it the table starts anew.
-PIECE_TABLE = 400_000
+PIECE_TABLE = 250_000
 
 
 class PieceCounter:
