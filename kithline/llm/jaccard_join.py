@@ -15,12 +15,10 @@ common lines and passages open no cells of their own.
 *Second level.* Balls come first: sets with a common smallest hash are measured
 against the first of them, a pivot, and those within 0.25 of it are one component.
 A cell then needs only pairs of different components: members outside its largest
-component meet all others. If those are more than ``CELL``, some of them become
-document pivots of the cell, against the members whose distance to the cell's first
-pivot differs by at most 0.25 from theirs (the triangle inequality); balls join
-components, and it goes on with more pivots until no member outside the largest
-component is left: no link between different components is lost, and links inside
-one need not be listed.
+component meet all others. If those are more than ``CELL``, the cell goes to a
+region of cells that share sets, and the region is joined in blocks of bounded size:
+sets outside the region's largest ball component against all of its sets. No link
+between different components is lost, and links inside one need not be listed.
 
 Candidates that meet at least l times are compared on their whole sets, which
 travel once to a block of candidates around a common neighbour. Equal sets are one
@@ -41,7 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kithline.llm.common import arrow_map, written
@@ -50,8 +48,10 @@ from kithline.llm.components import components
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 75
-#: Members of a cell outside its largest component that are joined whole, pivots of a larger one, cells of the sketch and of a slice of it.
-CELL, PIVOTS, SKETCH_BITS, SLICE_BITS = 96, 8, 23, 17
+#: Members of a cell outside its largest component that are joined whole, cells of the sketch and of a slice of it.
+CELL, SKETCH_BITS, SLICE_BITS = 48, 23, 17
+#: Sets of either side that meet in a task, in a region of crowded cells.
+REGION_SETS = 2_000
 #: Postings of a bucket, sets of a block, candidate classes sent as a sorted array.
 BUCKET_POSTINGS, BLOCK_SETS, MOST_SENT = 400_000, 2_000, 1_000_000
 #: Smallest hashes that seed the components.
@@ -433,7 +433,6 @@ def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def linked_sets(docs: DataFrame, own: DataFrame) -> DataFrame:
     """node (set), component for all sets that link with another. own: the classes of docs."""
-    sizes = own.where("set is not null").select("set", "n_shingles").distinct()
     hot, total = frequent(docs)
     buckets = max(8, -(-total * 32 // (100 * BUCKET_POSTINGS)))
     pair_buckets = max(8, buckets // 4)
@@ -447,41 +446,75 @@ def linked_sets(docs: DataFrame, own: DataFrame) -> DataFrame:
     members = written(crowded_members(met), "members")
     if members.isEmpty():
         return labels
-    # rounds in the crowded cells: sets outside a cell's largest component are the next pivots
-    first = members.groupBy("cell").agg(F.min("set").alias("first"))
-    members = written(
-        members.join(first, "cell").join(known.select(F.col("a").alias("first"), F.col("b").alias("set"), "distance"), ["first", "set"], "left")
-        .join(sizes.groupBy("set").agg(F.max("n_shingles").alias("n")), "set").select("cell", "set", "n", F.when(F.col("set") == F.col("first"), 0.0).otherwise(F.col("distance")).alias("d")), "members",
-    )
-    tried = None
-    pivots = PIVOTS
-    while True:
-        own = members.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-        largest = own.groupBy("cell", "component").count().groupBy("cell").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.count("*").alias("kinds")).where("kinds > 1")
-        open_ = own.join(largest, "cell")
-        outer = open_.where("component <> largest").select("cell", "set", "n", "d", "component")
-        if tried is not None:
-            outer = outer.join(tried, ["cell", "set"], "left_anti")
-        outer = written(outer, "outer")
-        if outer.isEmpty():
-            return labels
-        place = F.row_number().over(Window.partitionBy("cell").orderBy("set"))
-        chosen = outer.withColumn("place", place).where(F.col("place") <= pivots).select("cell", F.col("set").alias("p"), F.col("n").alias("pn"), F.col("d").alias("pd"), F.col("component").alias("pc"))
-        chosen = written(chosen, "pivots")
-        # the window: sizes that can link, and distances to the first pivot within the radius
-        near = (
-            open_.join(chosen, "cell").where("component <> pc and 100 * least(n, pn) >= 75 * greatest(n, pn)")
-            .where(F.coalesce(F.abs(F.col("d") - F.col("pd")) <= (100 - SIMILARITY) / 100 + 1e-9, F.lit(True)))
-            .select(F.least("set", "p").alias("a"), F.greatest("set", "p").alias("b")).distinct()
-        )
-        fresh = written(near.join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
-        now = chosen.select("cell", F.col("p").alias("set"))
-        tried = written(now if tried is None else tried.union(now), "tried")
-        pivots *= 8
-        if fresh.isEmpty():
-            continue
-        known = written(known.unionByName(distances(fresh, docs)), "distances")
-        labels = components(known.where("linked").select("a", "b"))
+    more = region_links(members, labels, docs)
+    return components(known.where("linked").select("a", "b").unionByName(more))
+
+
+def region_links(members: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) that tie components in the crowded cells.
+
+    Cells that share a set are one region. Sets outside the region's largest
+    component meet all its sets, block by block: ``REGION_SETS`` of either side are
+    in a task, whose answer is a spanning forest of the links between components.
+    """
+    first = members.groupBy("cell").agg(F.min("set").alias("a"))
+    regions = written(components(members.join(first, "cell").select("a", F.col("set").alias("b"))), "regions")
+    own = regions.select(F.col("node").alias("set"), F.col("component").alias("region")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "region", F.coalesce("component", "set").alias("component"))
+    sizes = own.groupBy("region", "component").count().groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = own.join(sizes, "region").select("set", "region", "component", (F.col("component") != F.col("largest")).alias("outer"), F.ceil((F.col("size")) / REGION_SETS).cast("int").alias("parts"))
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")), "region-sets")
+    if rows.isEmpty():
+        return members.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
+    # block (i, j): outer sets of part i against all sets of part j
+    every = F.explode(F.expr("sequence(0, parts - 1)"))
+    sent = rows.where("outer").select("region", "set", "component", F.col("part").alias("i"), every.alias("j"), F.lit(True).alias("outer"))
+    sent = sent.unionByName(rows.select("region", "set", "component", every.alias("i"), F.col("part").alias("j"), F.lit(False).alias("outer")))
+    sets = whole_sets(docs, rows.select("set").distinct())
+    dealt = sent.join(sets, "set").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", F.desc("outer"))
+
+    def solve(left: list[tuple], right: list[tuple]) -> tuple[list[int], list[int]]:
+        links: tuple[list[int], list[int]] = ([], [])
+        if not left or not right:
+            return links
+        size = np.array([len(x[2]) // 8 for x in left])
+        shingles = np.frombuffer(b"".join(x[2] for x in left), np.uint64)
+        order = np.argsort(shingles, kind="stable")
+        owner = np.repeat(np.arange(len(left)), size)[order]
+        shingles = shingles[order]
+        component = np.array([x[1] for x in left], np.int64)
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = parent.get(parent[c], parent[c])
+                c = parent[c]
+            return c
+
+        for ident, own, packed in right:
+            x = np.frombuffer(packed, np.uint64)
+            lo, hi = np.searchsorted(shingles, x, "left"), np.searchsorted(shingles, x, "right")
+            n = hi - lo
+            both = np.bincount(owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(left))
+            for k in np.flatnonzero((100 * both >= SIMILARITY * (size + len(x) - both)) & (component != own)).tolist():
+                u, v = find(own), find(int(component[k]))
+                if u != v:
+                    parent[u] = v
+                    links[0].append(ident), links[1].append(left[k][0])
+        return links
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, left, right = None, [], []
+        for batch in batches:
+            for region, i, j, outer, ident, component, packed in zip(*(batch.column(c).to_pylist() for c in ("region", "i", "j", "outer", "set", "component", "shingles"))):
+                if (region, i, j) != now:
+                    a, b = solve(left, right)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    now, left, right = (region, i, j), [], []
+                (left if outer else right).append((ident, component, packed))
+        a, b = solve(left, right)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "region-links")
 
 
 def join(docs: DataFrame) -> DataFrame:

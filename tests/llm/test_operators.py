@@ -268,8 +268,8 @@ def test_jaccard_join(spark, monkeypatch, tight):
         for _ in range(3):
             base[rnd.randrange(200)] = f"w{i}"
         texts.append(" ".join(base))
-    if tight:  # the crowded path for every cell, one pivot at a time, no seeds to speak of, joined lists
-        for k, v in (("CELL", 0), ("PIVOTS", 1), ("HASHES", 1), ("MOST_SENT", 0), ("BLOCK_SETS", 3)):
+    if tight:  # regions of small blocks for every cell, no seeds to speak of, joined lists
+        for k, v in (("CELL", 0), ("REGION_SETS", 5), ("HASHES", 1), ("MOST_SENT", 0), ("BLOCK_SETS", 3)):
             monkeypatch.setattr(jaccard_join, k, v)
         monkeypatch.setattr(jaccard_join.named, "__defaults__", (0,))
         monkeypatch.setattr(jaccard_join.whole_sets, "__defaults__", (0,))
