@@ -76,9 +76,7 @@ def evaluated(queries: DataFrame, truth: DataFrame, chosen: DataFrame) -> DataFr
 
 def rule_report(queries: DataFrame, truth: DataFrame, ruled: DataFrame, rules: list[str]) -> DataFrame:
     """rule, macro_f05, singleton_accuracy (0 without singletons) for chosen pairs by rule; a rule without pairs counts too."""
-    spark = queries.sparkSession
-    names = spark.createDataFrame([(i, r) for i, r in enumerate(rules)], "place int, rule string")
-    base = queries.select(F.col("entity_id").alias("query_id")).crossJoin(F.broadcast(names))  # a handful of rules
+    base = queries.select(F.col("entity_id").alias("query_id"), F.posexplode(F.array(*map(F.lit, rules))).alias("place", "rule"))
     t = truth.select("query_id", F.col("true_id").alias("candidate_id"), F.lit(1).alias("t")).distinct()
     true_n = t.groupBy("query_id").agg(F.count("*").alias("true_n"))
     hits = ruled.distinct().join(t, ["query_id", "candidate_id"], "left").groupBy("rule", "query_id").agg(F.count("*").alias("predicted_n"), F.count("t").alias("tp"))
@@ -97,15 +95,14 @@ def at_k(queries: DataFrame, truth: DataFrame, ranks: DataFrame, ks: list[int] |
     Groups: all, country, source, country and source; the last two have links only,
     so their oracle is null. k -1 stands for the whole pool. No links: recall is null.
     """
-    spark = queries.sparkSession
-    cut = spark.createDataFrame([(k,) for k in [*(ks or RECALL_KS), -1]], "k int")
+    cut = F.explode(F.array(*map(F.lit, [*(ks or RECALL_KS), -1])))
     links = truth.distinct().join(queries.select(F.col("entity_id").alias("query_id"), "country"), "query_id").join(
         ranks.select("query_id", F.col("candidate_id").alias("true_id"), "rank"), ["query_id", "true_id"], "left"
     )
     hit = F.expr("if(rank is not null and (k = -1 or rank <= k), 1, 0)")
-    by_link = links.crossJoin(F.broadcast(cut)).withColumn("hit", hit)
+    by_link = links.withColumn("k", cut).withColumn("hit", hit)
     counts = by_link.groupBy("query_id", "k").agg(F.count("*").alias("true_n"), F.sum("hit").alias("hits"))
-    entities = queries.select(F.col("entity_id").alias("query_id"), "country").crossJoin(F.broadcast(cut)).join(counts, ["query_id", "k"], "left").na.fill(0, ["true_n", "hits"])
+    entities = queries.select(F.col("entity_id").alias("query_id"), "country", cut.alias("k")).join(counts, ["query_id", "k"], "left").na.fill(0, ["true_n", "hits"])
     entities = entities.withColumn("oracle", F.expr(T.f05("hits", "hits", "true_n")))
     def whole(name: str):
         return entities.groupBy(F.expr(name).alias("grp"), "k").agg(
@@ -159,13 +156,12 @@ def threshold_sweep(queries: DataFrame, truth: DataFrame, scored: DataFrame, thr
     scored: query_id, candidate_id, probability, rank. A pair counts once for all
     thresholds below it: counts are summed by the highest threshold reached.
     """
-    spark = queries.sparkSession
-    grid = spark.createDataFrame([(c, float(t)) for c in (cutoffs or [1 << 30]) for t in thresholds], "cutoff int, threshold double")
+    grid = F.inline(F.array(*(F.struct(F.lit(c).alias("cutoff"), F.lit(float(t)).alias("threshold")) for c in (cutoffs or [1 << 30]) for t in thresholds)))
     t = truth.select("query_id", F.col("true_id").alias("candidate_id"), F.lit(1).alias("label")).distinct()
     true_n = t.groupBy("query_id").agg(F.count("*").alias("true_n"))
-    pairs = scored.join(t, ["query_id", "candidate_id"], "left").crossJoin(F.broadcast(grid)).where("rank <= cutoff")
+    pairs = scored.join(t, ["query_id", "candidate_id"], "left").select("query_id", "probability", "rank", "label", grid).where("rank <= cutoff")
     counts = pairs.groupBy("query_id", "cutoff", "threshold").agg(F.expr("count_if(probability >= threshold)").alias("predicted_n"), F.expr("count_if(probability >= threshold and label = 1)").alias("tp"), F.count("label").alias("available"))
-    rows = queries.select(F.col("entity_id").alias("query_id"), "country").crossJoin(F.broadcast(grid)).join(true_n, "query_id", "left").join(counts, ["query_id", "cutoff", "threshold"], "left")
+    rows = queries.select(F.col("entity_id").alias("query_id"), "country", grid).join(true_n, "query_id", "left").join(counts, ["query_id", "cutoff", "threshold"], "left")
     rows = rows.na.fill(0, ["true_n", "predicted_n", "tp", "available"]).withColumn("f05", F.expr(T.f05("tp", "predicted_n", "true_n"))).withColumn("oracle", F.expr(T.f05("available", "available", "true_n")))
     base = report(rows, "cutoff", "threshold")
     more = rows.groupBy("cutoff", "threshold").agg(
