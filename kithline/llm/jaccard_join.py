@@ -15,7 +15,7 @@ common lines and passages open no cells of their own.
 *Second level.* Balls come first: sets with a common smallest hash are measured
 against the first of them, a pivot, and those within 0.25 of it are one component.
 A cell then needs only pairs of different components: members outside its largest
-component meet all others. If those are more than ``CELL``, the cell goes to a
+component meet all others. If those are more than ``CELL`` squared, the cell goes to a
 region of cells that share sets, and the region is joined in blocks of bounded size:
 sets outside the region's largest ball component against all of its sets. No link
 between different components is lost, and links inside one need not be listed.
@@ -48,8 +48,8 @@ from kithline.llm.components import components
 SHINGLE = 5
 #: Similarity in hundredths.
 SIMILARITY = 75
-#: Members of a cell outside its largest component that are joined whole, cells of the sketch and of a slice of it.
-CELL, SKETCH_BITS, SLICE_BITS = 48, 23, 17
+#: A cell of up to CELL x CELL pairs (of sets outside its largest component with all) is joined whole; cells of the sketch and of a slice of it.
+CELL, SKETCH_BITS, SLICE_BITS = 96, 23, 17
 #: Sets of either side that meet in a task, in a region of crowded cells.
 REGION_SETS = 2_000
 #: Postings of a bucket, sets of a block, candidate classes sent as a sorted array.
@@ -302,7 +302,7 @@ def meetings(post: DataFrame, buckets: int, pair_buckets: int) -> DataFrame:
             size = np.diff(np.append(start, len(s)))
             outer = np.add.reduceat((~main).astype(np.int64), start)
             start, size, outer = start[outer > 0], size[outer > 0], outer[outer > 0]
-            crowded = outer > CELL
+            crowded = outer * size > CELL * CELL
             found: list[tuple[np.ndarray, ...]] = []
             whole, n, reach = start[~crowded], size[~crowded], outer[~crowded]
             work = np.cumsum(reach * n)
