@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.functions import text as T
-from kithline.functions.constants import POOL_GROUPS
+from kithline.functions.constants import POOL_GROUPS, ROUTE_GROUPS
 from kithline.operators.index import usable
 from kithline.operators.keys import route
 
@@ -15,24 +15,39 @@ def idf(population: str, count: str) -> str:
     return f"ln(({population} + 1) / cast({count} + 1 as double))"
 
 
+#: Routes in the order in which they are listed; a family that isn't among them is "other".
+ROUTES = sorted({r for g in ROUTE_GROUPS for r in g} | {r for g in POOL_GROUPS for r in g}) + ["other"]
+_ROUTE_NAMES = f"filter(array({T.quoted(ROUTES)}), (r, i) -> (shiftright(bits, i) & 1) = 1)"
+
+
+def _route_bit() -> Column:
+    """One bit for the route of a key."""
+    bit = F.lit(1 << (len(ROUTES) - 1))
+    for i, name in enumerate(ROUTES[:-1]):
+        bit = F.when(route(F.col("key")) == name, F.lit(1 << i)).otherwise(bit)
+    return bit
+
+
 def scores(query_keys: DataFrame, postings: DataFrame, stats: DataFrame, population: DataFrame, legacy: bool = False, with_routes: bool = True) -> DataFrame:
     """query_id, candidate_id, score, routes: all records that share a usable key with a query.
 
-    Sums are decimal, so they do not depend on the order of rows. Legacy mode counts
+    Sums are whole numbers of 1e-12, so they do not depend on the order of rows, and
+    routes are bits until the end: both aggregate without objects. Legacy mode counts
     a key once for each occurrence on either side and measures rarity by
     occurrences. Caps are applied before the join, so a key fans out to its cap at
     most.
     """
     count = "tf" if legacy else "df"
-    keys = usable(stats, legacy).join(F.broadcast(population), "country").select("country", "key", F.expr(idf("population", count)).alias("idf"))
+    keys = usable(stats, legacy).join(F.broadcast(population), "country").select("country", "key", F.expr(idf("population", count)).alias("idf"), _route_bit().alias("bit"))
     times = " * q_mult * mult" if legacy else ""
     hits = (
         query_keys.select(F.col("entity_id").alias("query_id"), "country", "key", F.col("weight").alias("q_weight"), F.col("mult").alias("q_mult")).join(keys, ["country", "key"])
         .join(postings.select("country", "key", F.col("entity_id").alias("candidate_id"), "mult"), ["country", "key"])
-        .select("query_id", "candidate_id", F.expr(f"cast(q_weight * idf{times} as decimal(20,12))").alias("part"), route(F.col("key")).alias("route"))
+        .select("query_id", "candidate_id", F.expr(f"cast(round(q_weight * idf{times} * 1e12D) as bigint)").alias("part"), "bit")
     )
-    found = [F.sum("part").alias("score")] + ([F.sort_array(F.collect_set("route")).alias("routes")] if with_routes else [])
-    return hits.groupBy("query_id", "candidate_id").agg(*found)
+    found = [(F.sum("part") / F.lit(1e12)).alias("score")] + ([F.bit_or("bit").alias("bits")] if with_routes else [])
+    out = hits.groupBy("query_id", "candidate_id").agg(*found)
+    return out.withColumn("routes", F.expr(_ROUTE_NAMES)).drop("bits") if with_routes else out
 
 
 def by_rank() -> Window:

@@ -55,10 +55,10 @@ def _retrieval(prefix: str, keys: str, legacy: bool = False) -> dict[str, str]:
     return {
         f"{prefix}st": f"SELECT country, key, count(*) AS df, CAST(sum(mult) AS BIGINT) AS tf, {_CAP} AS cap FROM {keys} WHERE entity_id NOT LIKE 'S1-%' GROUP BY country, key",
         f"{prefix}us": f"SELECT * FROM {prefix}st WHERE df <= cap" + (" AND tf <= cap" if legacy else ""),
-        f"{prefix}hit": f"""SELECT q.entity_id AS query_id, p.entity_id AS candidate_id, CAST(CAST(q.weight AS DOUBLE) * ln((population + 1) / CAST({count} + 1 AS DOUBLE)){times} AS DECIMAL(20, 12)) AS part,
+        f"{prefix}hit": f"""SELECT q.entity_id AS query_id, p.entity_id AS candidate_id, CAST(round(CAST(q.weight AS DOUBLE) * ln((population + 1) / CAST({count} + 1 AS DOUBLE)){times} * 1e12) AS BIGINT) AS part,
             CASE WHEN q.key LIKE 'f:%' THEN 'f_' || split_part(substr(q.key, 3), ':', 1) ELSE split_part(q.key, ':', 1) END AS route
             FROM {keys} q JOIN {prefix}us u USING (country, key) JOIN pop USING (country) JOIN {keys} p USING (country, key) WHERE q.entity_id LIKE 'S1-%' AND p.entity_id NOT LIKE 'S1-%'""",
-        f"{prefix}sc": f"SELECT query_id, candidate_id, sum(part) AS score, list_sort(list(DISTINCT route)) AS routes FROM {prefix}hit GROUP BY query_id, candidate_id",
+        f"{prefix}sc": f"SELECT query_id, candidate_id, CAST(sum(part) AS DOUBLE) / 1e12 AS score, list_sort(list(DISTINCT route)) AS routes FROM {prefix}hit GROUP BY query_id, candidate_id",
         f"{prefix}rk": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {_ORDER}, candidate_id) AS rank, CAST(score AS DOUBLE) / greatest(1e-9, CAST(max(score) OVER (PARTITION BY query_id) AS DOUBLE)) AS relative FROM {prefix}sc",
     }
 
@@ -265,7 +265,7 @@ ORACLE_SQL: dict[str, str] = {
     "family_overlap": query(f"""SELECT country, family, count(*) AS links FROM (SELECT DISTINCT f.country, f.query_id, split_part(a.key, ':', 1) AS family FROM (
         SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5('{SEED}|' || query_id), query_id) AS place FROM (SELECT query_id, country, min(true_id) AS true_id FROM truth JOIN s1 USING (query_id) GROUP BY 1, 2)) f
         JOIN k3 a ON a.entity_id = f.query_id JOIN k3 b ON b.entity_id = f.true_id AND a.key = b.key WHERE place <= 400) GROUP BY country, family""", "truth", "s1", "k3"),
-    "ablation_families": query(f"""SELECT mode, CAST(count(*) AS BIGINT) AS pairs, {r6('sum(s)', 'total_score')} FROM (SELECT mode, query_id, candidate_id, sum(part) AS s FROM ehit JOIN (VALUES
+    "ablation_families": query(f"""SELECT mode, CAST(count(*) AS BIGINT) AS pairs, {r6('sum(s)', 'total_score')} FROM (SELECT mode, query_id, candidate_id, CAST(sum(part) AS DOUBLE) / 1e12 AS s FROM ehit JOIN (VALUES
         ('baseline', ['t','p','s','sk','c','n','ns','aw']), ('folded', ['t','p','s','sk','c','n','ns','aw','f_t','f_c','f_aw']), ('address_combinations', ['t','p','s','sk','c','n','ns','aw','a2','an','n2']), ('skeleton_fragments', ['t','p','s','sk','c','n','ns','aw','sg'])) m(mode, fam)
         ON list_contains(fam, route) GROUP BY ALL) GROUP BY mode""", "ehit"),
     "country_compare": query("SELECT country, train_rows, test_rows, train_rows = 0 AS test_only FROM (SELECT country, count(*) FILTER (WHERE k % 2 = 0 AND country <> 'fr') AS train_rows, count(*) FILTER (WHERE k % 2 = 1) AS test_rows FROM (SELECT country, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS k FROM doc) GROUP BY country)", "doc"),
