@@ -16,6 +16,9 @@ from kithline.sources import adapters
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
+#: Candidates of a query: what the SQL of the pair queries stops at, and what production takes.
+SQL_K, WHOLE_K = 20, max(CUTOFFS)
+
 
 def r6(*names: str):
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
@@ -58,14 +61,14 @@ class Linkage:
     def per_query(self) -> DataFrame:
         return evaluate.per_query(self.queries, self.truth, self.chosen())
 
-    def pairs(self) -> DataFrame:
-        return retrieve.relative(self.ranks(3)).where("rank <= 20")
+    def pairs(self, k: int = SQL_K) -> DataFrame:
+        return retrieve.relative(self.ranks(3)).where(F.col("rank") <= k)
 
-    def featured(self) -> DataFrame:
-        return features.all_features(self.pairs(), records.pair_view(self.views))
+    def featured(self, k: int = SQL_K) -> DataFrame:
+        return features.all_features(self.pairs(k), records.pair_view(self.views))
 
-    def probable(self) -> DataFrame:
-        return model.fixed_score(self.featured())
+    def probable(self, k: int = SQL_K) -> DataFrame:
+        return model.fixed_score(self.featured(k))
 
     def truth_rows(self) -> DataFrame:
         lists = self.truth.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_set("true_id")), ",").alias("ids"))
@@ -84,8 +87,8 @@ class Linkage:
         got = evaluate.at_k(self.queries, self.truth, self.ranks(with_routes=False))
         return got.select("grp", "k", "entities", "true_links", "hits", "covered", *r6("pair_recall", "oracle_macro_f05"))
 
-    def sweep(self, thresholds: list[float], cutoffs: list[int] | None = None) -> DataFrame:
-        got = evaluate.threshold_sweep(self.queries, self.truth, self.probable(), thresholds, cutoffs)
+    def sweep(self, thresholds: list[float], cutoffs: list[int] | None = None, k: int = SQL_K) -> DataFrame:
+        got = evaluate.threshold_sweep(self.queries, self.truth, self.probable(k), thresholds, cutoffs)
         return got.select("cutoff", "threshold", "entities", *r6("macro_f05"), "true_pairs", "predicted_pairs", "true_positives", "singletons", "singleton_correct", *r6("pair_precision", "pair_recall", "singleton_accuracy"))
 
 
@@ -251,6 +254,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "country_f05": _on("report", "country", then=lambda r: r.select("country", "entities", "macro_f05")),
     "threshold_sweep": _on("sweep", [round(0.05 + 0.025 * i, 3) for i in range(37)]),
     "cutoff_sweep": _on("sweep", [0.6], CUTOFFS),
+    "cutoff_sweep_k300": _on("sweep", [0.6], CUTOFFS, WHOLE_K),
     "stratified_split": _on("split", then=lambda s: s.select("source1_entity_id", "country", "match_count", "bucket", "split")),
     "split_summary": _on("split", then=sampling.summary),
     "dev_sample": _on("split", then=lambda s: sampling.dev_sample(s, 50)),
