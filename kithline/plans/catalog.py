@@ -180,13 +180,13 @@ def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small boosted model: trained on queries of even number, scored on the others."""
+    """The boosted model over whole pools: trained on the train side of the stratified split, scored on all queries."""
     link = Linkage(spark, sf_dir)
-    rows = link.featured().join(link.truth.select("query_id", F.col("true_id").alias("candidate_id"), F.lit(1).alias("label")), ["query_id", "candidate_id"], "left").na.fill(0, ["label"])
-    even = F.substring_index("query_id", "-", -1).cast("bigint") % 2 == 0
-    rows = rows.select("query_id", "candidate_id", "rank", *FEATURES, "label").cache()
-    fitted = model.fit(rows.where(even), rounds=10)
-    return model.predict(fitted, rows.where(~even)).select("query_id", "candidate_id", *r6("probability"), "label")
+    rows = link.featured(WHOLE_K).join(link.truth.select("query_id", F.col("true_id").alias("candidate_id"), F.lit(1).alias("label")), ["query_id", "candidate_id"], "left").na.fill(0, ["label"])
+    side = link.split().select(F.col("source1_entity_id").alias("query_id"), "split")
+    rows = rows.join(side, "query_id").select("query_id", "candidate_id", "rank", *FEATURES, "label", "split").cache()
+    fitted = model.fit(rows.where("split = 'train'"))
+    return model.predict(fitted, rows).select("query_id", "candidate_id", *r6("probability"), "label", "split")
 
 
 def _truth_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:

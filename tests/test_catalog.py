@@ -2,6 +2,7 @@
 
 import pytest
 
+from kithline.operators import model
 from kithline.plans.catalog import QUERIES
 
 N = 720
@@ -21,3 +22,18 @@ def test_cutoffs_differ(spark, sf_dir):
     assert sorted(got) == [20, 50, 100, 150, 300]
     few = [got[k].predicted_pairs for k in (20, 50)]
     assert few[0] < few[1] <= got[300].predicted_pairs
+
+
+def test_pair_model_scores_whole_pools_of_all_queries(spark, sf_dir, monkeypatch):
+    asked = []
+
+    def short(rows, rounds=150):
+        asked.append((rounds, {r.split for r in rows.select("split").distinct().collect()}))
+        return fit(rows, rounds=2)
+
+    fit = model.fit
+    monkeypatch.setattr(model, "fit", short)
+    got = QUERIES["pair_model"](spark, sf_dir).groupBy("query_id", "split").count().collect()
+    assert asked == [(150, {"train"})]
+    assert len(got) == N // 3 and {r.split for r in got} == {"train", "valid"}
+    assert min(r["count"] for r in got) > 20
