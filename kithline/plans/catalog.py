@@ -17,7 +17,7 @@ from kithline.sources import adapters
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Candidates of a query: what the SQL of the pair queries stops at, and what production takes.
-SQL_K, WHOLE_K = 20, max(CUTOFFS)
+SQL_K, WHOLE_K, WHOLE_POOL = 20, max(CUTOFFS), 1000
 
 
 def r6(*names: str):
@@ -154,9 +154,9 @@ def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.losses(link.truth, link.weighted(2).select("entity_id", "country", "key"), index.usable(stats).select("country", "key"), link.ranks(with_routes=False)).groupBy("reason").agg(F.count("*").alias("links"))
 
 
-def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _subset(spark: SparkSession, sf_dir: str, k: int = SQL_K) -> DataFrame:
     link = Linkage(spark, sf_dir)
-    pool = link.ranks(k=20, with_routes=False).select("query_id", "candidate_id", F.lit(1).alias("there"))
+    pool = link.ranks(k=k, with_routes=False).select("query_id", "candidate_id", F.lit(1).alias("there"))
     return link.chosen().join(pool, ["query_id", "candidate_id"], "left").agg(F.count("*").alias("matches"), F.expr("count_if(there is null)").alias("outside"))
 
 
@@ -271,4 +271,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cartesian_sizes": lambda s, d: audit.cartesian(adapters.parts(s, d)),
     "confirmation_errors": lambda s, d: evaluate.errors(Linkage(s, d).per_query(), Linkage(s, d).truth, Linkage(s, d).chosen()).select("query_id", *r6("f05"), "true_n", "predicted_n", "false_positive_ids", "false_negative_ids"),
     "pair_model": _model,
+    "threshold_sweep_k300": _on("sweep", [round(0.05 + 0.025 * i, 3) for i in range(37)], None, WHOLE_K),
+    "pair_features_base_k300": _on("featured", WHOLE_K, then=lambda f: f.select("query_id", "candidate_id", *r6(*BASE_FEATURES))),
+    "pair_features_all19_k300": _on("featured", WHOLE_K, then=lambda f: f.select("query_id", "candidate_id", *r6(*FEATURES))),
+    "pair_rank_name_k300": _on("featured", WHOLE_K, then=lambda f: features.pair_rank(f, False).select("query_id", "candidate_id", *r6("pair_rank"))),
+    "pair_rank_name_address_k300": _on("featured", WHOLE_K, then=lambda f: features.pair_rank(f).select("query_id", "candidate_id", *r6("pair_rank"))),
+    "route_pool_k1000": _on("ranks", 3, then=lambda r: retrieve.route_pool(r, WHOLE_POOL).select("query_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"))),
+    "matches_subset_candidates_k300": lambda s, d: _subset(s, d, WHOLE_K),
 }

@@ -37,3 +37,9 @@ def test_pair_model_scores_whole_pools_of_all_queries(spark, sf_dir, monkeypatch
     assert asked == [(150, {"train"})]
     assert len(got) == N // 3 and {r.split for r in got} == {"train", "valid"}
     assert min(r["count"] for r in got) > 20
+
+
+@pytest.mark.parametrize("name", ["pair_features_all19_k300", "route_pool_k1000"])
+def test_pools_go_beyond_20(spark, sf_dir, name):
+    got = QUERIES[name](spark, sf_dir).groupBy("query_id").count().collect()
+    assert len(got) == N // 3 and min(r["count"] for r in got) > 20
