@@ -2,22 +2,29 @@
 
 The merge list is compiled into an automaton over token labels by successive
 merge gadgets. It starts with one state that loops on every base symbol. The
-merge number k, ``(u, v) -> w``, splits the state that arcs labelled ``u`` lead
-to, takes the arc ``v`` out of the split copy, and adds an arc ``w`` wherever
-``u`` then ``v`` could be read; ``w`` leads where ``v`` led. After the last merge
-the automaton accepts exactly the segmentations that BPE produces, one for each
-word. All arcs with one label lead to one state, so the automaton is kept as
-three columns (left part, right part and time of each label) plus the gadget
-table ``(u, v) -> k``; an arc ``b`` out of the state after ``a`` is there unless
-a gadget on the right edge of ``a`` and the left edge of ``b`` took it out while
-both were open. Looked-up arcs are kept, so a transition costs one table look-up.
-
-A word is encoded by following the arcs that spell it, longest label first, and
-stepping back from positions that can't be finished. Decoding emits arc labels.
+merge ``(u, v) -> w`` copies the state that arcs labelled ``u`` lead to, takes the
+arc ``v`` out of the copy, lets all arcs ``u`` lead to the copy, and adds an arc
+``w`` wherever ``u`` then ``v`` could be read; ``w`` leads where ``v`` led. After the
+last merge the automaton accepts exactly the segmentations that BPE produces, one
+for each string.
+
+All arcs with one label lead to one state. Most of the states are only steps of
+the construction; the ones that labels lead to at the end are kept (11,612 for
+49,406 labels). A state lacks few of all arcs: taking out ``v`` at time k takes out
+``v`` itself and all labels that begin with a merge of ``v`` made from k on. Labels are
+numbered so that these are one range (depth first by left parts, in the order of
+merges), and a state is the sorted edges of its missing ranges in one shared array.
+
+A word is read from left to right once, symbol by symbol. Every prefix has one
+accepted path, so one label and with it one state is known after each symbol: the
+longest label that ends there (table of the label trie with failure arcs) for
+which the state before it has an arc. The labels are then read back from the
+end. Nothing is stepped back and tried again. Decoding emits arc labels.
 
 Edge cases: null text counts as empty (no tokens, hash of the empty string);
 texts of any length are done word by word; repeated rows give repeated results;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored; doc_id may have
+any type.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -35,9 +44,7 @@ from pyspark.sql import DataFrame
 from kithline.llm.common import arrow_map
 
 #: The words kept with their encodings in a task: this many newer ones and as many older ones.
-WORD_TABLE = 80_000
-#: The arcs kept in a task.
-ARC_TABLE = 400_000
+WORD_TABLE = 40_000
 _END = "\0"
 #: Characters below this, but for one, are classed and folded alike by Python and the tokenizer library.
 _PLAIN_BELOW = "԰"
@@ -75,125 +82,156 @@ def byte_labels() -> list[str]:
 
 
 class TokenAutomaton:
-    """The compiled merges; states are known by the label that leads to them."""
+    """The compiled merges: states as missing ranges of labels, labels as a trie with failure arcs, all in arrays."""
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end_suffix: str = ""):
         self.suffix = end_suffix
         marked = (lambda s: s[: -len(end_suffix)] + _END if s.endswith(end_suffix) else s) if end_suffix else (lambda s: s)
-        self.label: dict[int, str] = {i: s for s, i in vocab.items()}
-        self.ids: dict[str, int] = {marked(s): i for s, i in vocab.items()}
-        self.parts: dict[int, tuple[int, int, int]] = {}  # label: left part, right part, time
-        self.gadget: dict[int, int] = {}  # u << 32 | v: time
-        for k, (u, v) in enumerate(merges):
-            self._add_gadget(k, self.ids[marked(u)], self.ids[marked(v)], self.ids[marked(u) + marked(v)])
-        self._never = len(self.gadget) + 1
-        self._rows()
-        self._arcs: dict[int, bool] = {}
-        self._starts: dict[str, tuple[int, int]] = {}
-        self._edges: tuple[dict, dict] = ({}, {})
-
-    def _add_gadget(self, k: int, u: int, v: int, w: int) -> None:
-        if any(x in self.parts and self.parts[x][2] >= k for x in (u, v)):
-            raise ValueError("a merge uses a symbol that a later merge makes")
-        self.parts.setdefault(w, (u, v, k))
-        self.gadget[u << 32 | v] = k
-
-    def _rows(self) -> None:
-        """Tables of the character trie: longest label by its first characters, and the next shorter one of each label."""
-        self.most: dict[str, int] = {}
-        self.shorter: dict[int, tuple[int, int]] = {}
-        for s, t in self.ids.items():
-            self.most[s[:4]] = max(self.most.get(s[:4], 0), len(s))
-            size = len(s) - 1
-            while size and s[:size] not in self.ids:
-                size -= 1
-            self.shorter[t] = (self.ids[s[:size]], size) if size else (-1, 0)
-
-    def _edge(self, t: int, side: int) -> list[tuple[int, int]]:
-        """The labels on one edge of t, each with the time at which a merge closed it."""
-        out = self._edges[side].get(t)
-        if out is None:
-            out, at, closes = [], t, self._never
-            while at in self.parts:
-                out.append((at << 32 * side, closes))
-                closes, at = self.parts[at][2], self.parts[at][side]
-            out.append((at << 32 * side, closes))
-            self._edges[side][t] = out
-        return out
-
-    def _open(self, a: int, b: int) -> bool:
-        """Whether no gadget took the arc b out of the state after a."""
-        ys, gadget = self._edge(b, 0), self.gadget
-        for x, closes_x in self._edge(a, 1):
-            for y, closes_y in ys:
-                k = gadget.get(x | y)
-                if k is not None and k < closes_x and k <= closes_y:
-                    return False
-        return True
+        self.text: dict[int, str] = {i: s for s, i in vocab.items()}
+        ids = {marked(s): i for s, i in vocab.items()}
+        made = self._gadgets(ids, [(marked(u), marked(v)) for u, v in merges])
+        self._compile(ids, *made)
+
+    def _gadgets(self, ids: dict[str, int], merges: list[tuple[str, str]]) -> tuple[dict, dict, list]:
+        """The construction: parts of each label that merges make, the state each label leads to, and by state its parent and what was taken out."""
+        made: dict[int, tuple[int, int, int]] = {}  # label: left part, right part, time
+        pairs: dict[tuple[int, int], int] = {}
+        leads: dict[int, int] = {}
+        states: list[tuple[int, int, int]] = [(-1, -1, -1)]  # parent, label taken out, time
+
+        def edge(t: int, side: int, now: int) -> list[tuple[int, int]]:
+            """The labels on one edge of t, each with the time at which a merge closed it."""
+            out, closes = [], now
+            while t in made:
+                out.append((t, closes))
+                t, closes = made[t][side], made[t][2]
+            return [*out, (t, closes)]
+
+        for k, (left, right) in enumerate(merges):
+            u, v, w = ids[left], ids[right], ids[left + right]
+            if w in made or any(made[x][2] >= k for x in (u, v) if x in made):
+                raise ValueError("merges must make each symbol once, before it is used")
+            # a pair that earlier gadgets keep apart is never read, so its gadget changes nothing
+            if any(pairs.get((x, y), k) < min(cx, cy + 1) for x, cx in edge(u, 1, k) for y, cy in edge(v, 0, k)):
+                continue
+            made[w], pairs[u, v] = (u, v, k), k
+            leads[w] = leads.get(v, 0)
+            states.append((leads.get(u, 0), v, k))
+            leads[u] = len(states) - 1
+        return made, leads, states
+
+    def _compile(self, ids: dict[str, int], made: dict, leads: dict, states: list) -> None:
+        base = [t for s, t in ids.items() if t not in made and (len(s) == 1 or (len(s) == 2 and s[1] == _END and self.suffix))]
+        kids: dict[int, list[int]] = {}
+        for w, (u, _, _) in made.items():  # in the order of merges
+            kids.setdefault(u, []).append(w)
+        number, last, todo = {}, {}, [(t, False) for t in reversed(base)]
+        while todo:
+            t, done = todo.pop()
+            if done:
+                last[t] = len(number)
+            else:
+                number[t] = len(number)
+                todo.append((t, True))
+                todo.extend((w, False) for w in reversed(kids.get(t, ())))
+        self.ids = array("i", number)
+        self.number = number
+        kept = {s: i for i, s in enumerate(dict.fromkeys(leads.get(t, 0) for t in self.ids))}
+        self.leads = array("i", (kept[leads.get(t, 0)] for t in self.ids))
+        edges, heads = array("i"), array("i", [0])
+        for s in kept:
+            out: list[tuple[int, int]] = []
+            while s:
+                s, v, k = states[s]
+                out.append((number[v], number[v] + 1))
+                later = bisect_left(kids.get(v, ()), k, key=lambda w: made[w][2])
+                if later < len(kids.get(v, ())):
+                    out.append((number[kids[v][later]], last[v]))
+            end = -1
+            for a, b in sorted(out):  # overlapping and touching ranges become one
+                if a > end:
+                    edges.extend((a, b))
+                    end = b
+                elif b > end:
+                    edges[-1] = end = b
+            heads.append(len(edges))
+        self.edges, self.heads = edges, heads
+        self._trie({t: s for s, t in ids.items() if t in number})
+
+    def _trie(self, spelled: dict[int, str]) -> None:
+        symbols = lambda s: [*s[:-2], s[-2:]] if self.suffix and s.endswith(_END) else s
+        self.symbol = {s: i for i, s in enumerate(dict.fromkeys(c for s in spelled.values() for c in symbols(s)))}
+        self.width = len(self.symbol)
+        goto: dict[int, int] = {}
+        by_depth: list[list[tuple[int, int, int]]] = []
+        at_label, ends = array("i", bytes(4 * len(spelled))), {}
+        self.size = array("i", bytes(4 * len(spelled)))
+        for t, s in spelled.items():
+            node = 0
+            for depth, c in enumerate(symbols(s)):
+                key = node * self.width + self.symbol[c]
+                if key not in goto:
+                    goto[key] = len(goto) + 1
+                    if depth == len(by_depth):
+                        by_depth.append([])
+                    by_depth[depth].append((goto[key], node, self.symbol[c]))
+                node = goto[key]
+            ends[node] = self.number[t]
+            at_label[self.number[t]] = node
+            self.size[self.number[t]] = depth + 1
+        self.fail = array("i", bytes(4 * (len(goto) + 1)))
+        self.longest = array("i", [-1]) * (len(goto) + 1)
+        for level in by_depth:
+            for node, up, c in level:
+                f = self.fail[up]
+                while f and f * self.width + c not in goto:
+                    f = self.fail[f]
+                self.fail[node] = goto.get(f * self.width + c, 0) if up else 0
+                self.longest[node] = ends.get(node, self.longest[self.fail[node]])
+        self.shorter = array("i", (self.longest[self.fail[node]] for node in at_label))
+        self.goto = goto
 
     def arc(self, a: int, b: int) -> bool:
-        """Whether label b can be read after label a."""
-        known = self._arcs.get(a << 32 | b)
-        if known is None:
-            if len(self._arcs) > ARC_TABLE:
-                self._arcs.clear()
-            known = self._arcs[a << 32 | b] = self._open(a, b)
-        return known
-
-    def _longest(self, key: str, s: str, at: int) -> tuple[int, int]:
-        """The longest label that s has at the position, and its length; kept if the key alone decides it."""
-        most = self.most.get(key[:4], 4)
-        for size in range(min(most, len(s) - at), 0, -1):
-            t = self.ids.get(s[at : at + size])
-            if t is not None:
-                if most <= len(key) or at + len(key) == len(s):
-                    if len(self._starts) >= ARC_TABLE // 2:
-                        self._starts.clear()
-                    self._starts[key] = (t, size)
-                return t, size
-        return -1, 0
+        """Whether label b can be read after label a (ids)."""
+        state, b = self.leads[self.number[a]], self.number[b]
+        lo = self.heads[state]
+        return not (bisect_right(self.edges, b, lo, self.heads[state + 1]) - lo) & 1
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of the one accepted path that spells the word (byte labels)."""
         if not word:
             return []
-        s = word + _END if self.suffix else word
-        n, longest, shorter, arcs = len(s), self._starts, self.shorter, self._arcs
-        path: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        at, t, size = 0, -2, 0  # t: -2 before the longest label at this position is looked up, -1 when there is none left
-        while at < n:
-            if t == -2:
-                key = s[at : at + 7]
-                found = longest.get(key)
-                if found is None:
-                    found = self._longest(key, s, at)
-                t, size = found
-            while t >= 0:
-                if at + size not in dead:
-                    if not path:
-                        break
-                    open_ = arcs.get(path[-1] << 32 | t)
-                    if open_ is None:
-                        open_ = self.arc(path[-1], t)
-                    if open_:
-                        break
-                t, size = shorter[t]
-            if t >= 0:
-                path.append(t)
-                starts.append(at)
-                at, t = at + size, -2
-            else:
-                if not path:
-                    raise ValueError("a word has no path in the automaton")
-                dead.add(at)
-                at, (t, size) = starts.pop(), shorter[path.pop()]
-        return path
+        goto, fail, longest, shorter, size, leads, heads, edges, width = self.goto, self.fail, self.longest, self.shorter, self.size, self.leads, self.heads, self.edges, self.width
+        spelled = [self.symbol.get(c, -1) for c in word]
+        if self.suffix:
+            spelled[-1] = self.symbol.get(word[-1] + _END, -1)
+        if min(spelled) < 0:
+            raise ValueError("a word has a symbol that the automaton doesn't read")
+        path = [-1] * (len(spelled) + 1)  # the label that ends after so many symbols
+        node = 0
+        for i, c in enumerate(spelled, 1):
+            into = goto.get(node * width + c)
+            while into is None:
+                node = fail[node]
+                into = goto.get(node * width + c)
+            node = into
+            t = longest[node]
+            while size[t] < i:
+                state = leads[path[i - size[t]]]
+                lo = heads[state]
+                if not (bisect_right(edges, t, lo, heads[state + 1]) - lo) & 1:
+                    break
+                t = shorter[t]
+            path[i] = t
+        out, i = [], len(spelled)
+        while i:
+            out.append(self.ids[path[i]])
+            i -= size[path[i]]
+        return out[::-1]
 
     def decode(self, path: list[int]) -> list[str]:
         """The labels on the path."""
-        return [self.label[t] for t in path]
+        return [self.text[t] for t in path]
 
 
 class WordTokenizer:
@@ -207,8 +245,9 @@ class WordTokenizer:
         model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.automaton = TokenAutomaton(model["vocab"], merges, model["end_of_word_suffix"])
-        self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # normalisation and splitting of texts beyond the plain characters; the model isn't loaded
+        self.library = Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": [], "post_processor": None}))
         self.apart = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.words = plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.labels = str.maketrans({chr(b): c for b, c in enumerate(byte_labels())})
@@ -279,4 +318,4 @@ def encode_texts(docs: DataFrame, name: str = "word_bpe_49k.json", with_ids: boo
         return pa.RecordBatch.from_arrays(cols, names)
 
     more = ", ids array<int>, decoded string" if with_ids else ""
-    return arrow_map(docs.select("doc_id", "text"), work, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more)
+    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + more)
