@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -25,17 +27,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(fold(doc_id) == 2, F.lit(False))
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers are reused, and what one stage leaves would add to the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; it keeps what it has
+        pass
+
+
 def arrow_map(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, text: str = "text") -> DataFrame:
-    """``mapInArrow`` by slices of a bounded number of text bytes."""
+    """``mapInArrow`` by slices of a bounded number of text bytes and of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kithline.llm.textscan import chunks
 
-        for batch in batches:
-            for part in chunks(batch, text):
-                got = work(part)
-                if got is not None:
-                    yield got
+        try:
+            for batch in batches:
+                for part in chunks(batch, text):
+                    got = work(part)
+                    if got is not None:
+                        yield got
+        finally:
+            release()
 
     return df.mapInArrow(run, schema)
 
@@ -50,6 +65,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/kithline-{uuid.uuid4().hex}"
 
 
+def text_key() -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("kith"), F.col("text")).alias("k2")]
+
+
+def kind(df: DataFrame, column: str) -> str:
+    """The type of a column, for schemas: ids are taken as they come."""
+    return df.schema[column].dataType.simpleString()
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes the folder of a frame that ``written`` gave, once nothing reads it any more."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent().getParent()
+        if path.getName().startswith("kithline-"):
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str = "t") -> DataFrame:
     """The frame, written once to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession

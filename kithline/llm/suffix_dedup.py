@@ -41,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import arrow_map, written
+from kithline.llm.common import arrow_map, text_key, written
 
 LENGTH, GRAM = 400, 32
 #: Different pieces of one hash that are compared at once, and pieces in a batch.
@@ -90,11 +90,6 @@ def anchors_of(buf: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple
     return h[place[first]], place[first], first, last
 
 
-def text_key() -> list[Column]:
-    """128 bits that stand for a text."""
-    return [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("kith"), F.col("text")).alias("k2")]
-
-
 def _rows(texts: pa.Array, length: int) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
     from kithline.llm.textscan import flat
 

@@ -4,7 +4,7 @@ Texts of a batch are looked at as one byte buffer. Word boundaries come from a
 256-entry byte class table and word identities from a 64-bit polynomial hash
 taken by prefix sums, so the cost is a few nanoseconds a byte and no Python
 string is made for any word. Memory is bounded by ``CHUNK_BYTES`` of text at a
-time (one text at least).
+time (one text at least) and by ``CHUNK_ROWS`` texts.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Text bytes looked at in one go; a single longer text is taken whole.
-CHUNK_BYTES = 1 << 20
+#: Text bytes and rows looked at in one go; a single longer text is taken whole.
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 4096
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -59,7 +59,7 @@ def chunks(batch: pa.RecordBatch, column: str, most: int = 0) -> Iterator[pa.Rec
     _, ends = flat(batch.column(column))
     start = 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1)
+        stop = min(start + CHUNK_ROWS, max(start + 1, int(np.searchsorted(ends, ends[start] + most, "right")) - 1))
         yield batch.slice(start, stop - start)
         start = stop
 
