@@ -8,10 +8,12 @@ same document or another. All of it is judged on the input.
    have equal gram hashes at equal offsets, so only strings with a common anchor
    hash need to be compared. A place is the anchor of a run of string starts; there
    is about one for each 185 bytes.
-2. Anchor hashes that occur once are out. The others give a piece of text each,
-   from its first string's start to its last string's end; equal pieces are
-   counted on the map side, so a group of copies is one row a task.
-3. The different pieces of a hash, laid out by their anchors, go through the
+2. Anchor hashes that occur once are out. For the others a narrow row says where
+   the piece of text around the anchor lies (from its first string's start to its
+   last string's end) and has 64 bits of its bytes. Pieces that occur more than once
+   are repeated strings all over; so copies need no more than these rows.
+3. Only hashes with different pieces need bytes: these pieces are sent, once for
+   each task, to the task of their hash. Laid out by their anchors, they go through the
    column-wise construction: from the last column to the first, one byte of each
    piece is put in front of its suffix, the order of suffixes (the column's part of
    the collection's Burrows-Wheeler transform) is updated by a stable sort on that
@@ -24,8 +26,9 @@ same document or another. All of it is judged on the input.
    that runs of neighbouring strings have in common, down to single strings.
 
 Rows with the same text are told apart only by how often the text occurs. Sizes
-of what a task holds at once are bounded; nothing is collected but a count, and
-the list of repeated hashes if it is short.
+of what a task holds at once are bounded; nothing is collected but counts, and
+lists of hashes if they are short. Longer lists are joined by text: then texts
+travel once more, and still only the pieces that are needed.
 
 Edge cases: null and empty texts have 0 bytes; texts shorter than LENGTH stay
 whole; texts of any length are scanned in overlapping slices; equal rows repeat
@@ -44,13 +47,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import arrow_map, text_key, written
+from kithline.llm.common import arrow_map, dropped, kind, release, text_key, written
 
 LENGTH, GRAM = 400, 32
 #: Different pieces of one hash that are compared at once, and pieces in a batch.
 GROUP, BATCH = 20_000, 4_096
-#: Repeated hashes up to this number travel as a sorted array; beyond it they are joined.
-MOST_SENT = 1_000_000
+#: Hashes up to this number travel as a sorted array; beyond it they are joined. Pieces a task remembers to have sent.
+MOST_SENT, SEEN = 1_000_000, 200_000
 _SLICE = 4 << 20
 
 
@@ -113,30 +116,80 @@ def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return arrow_map(docs.select("text"), work, "h bigint, n bigint")
 
 
-_PIECES = "h bigint, k1 bigint, k2 bigint, lo int, first int, last int, piece binary"
+def _listed(listed: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return listed[np.minimum(np.searchsorted(listed, h), len(listed) - 1)] == h if len(listed) else np.zeros(len(h), bool)
 
 
-def pieces(docs: DataFrame, repeated: np.ndarray | None, length: int = LENGTH) -> DataFrame:
-    """The text around each anchor whose hash is listed (all if there is no list). lo: where it begins; first, last: string starts, from the anchor."""
+def _digest(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=16).digest()
+
+
+def _id(digest: bytes) -> int:
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
+def places(docs: DataFrame, repeated: np.ndarray | None, length: int = LENGTH) -> DataFrame:
+    """h, text, lo (where the piece begins), first and last (string starts, from the anchor) and id (of the bytes) of each anchor whose hash is listed; of all if there is no list."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         cols: list[list] = [[] for _ in range(7)]
         k1, k2 = batch.column("k1").to_pylist(), batch.column("k2").to_pylist()
         for i, own, (h, place, lo, hi) in _rows(batch.column("text"), length):
             if repeated is not None:
-                at = np.minimum(np.searchsorted(repeated, h), len(repeated) - 1)
-                ok = repeated[at] == h if len(repeated) else np.zeros(len(h), bool)
+                ok = _listed(repeated, h)
                 h, place, lo, hi = h[ok], place[ok], lo[ok], hi[ok]
             raw = own.tobytes()
             for x, p, a, b in zip(h.view(np.int64).tolist(), place.tolist(), lo.tolist(), hi.tolist()):
-                for c, v in zip(cols, (x, k1[i], k2[i], a, a - p, b - p, raw[a : b + length])):
+                for c, v in zip(cols, (x, k1[i], k2[i], a, a - p, b - p, _id(_digest(raw[a : b + length])))):
                     c.append(v)
         if not cols[0]:
             return None
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "k1", "k2", "lo", "first", "last", "piece"])
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["h", "k1", "k2", "lo", "first", "last", "id"])
+
+    return arrow_map(docs.select(*text_key(), "text").where("text is not null"), work, "h bigint, k1 bigint, k2 bigint, lo int, first int, last int, id bigint")
 
-    return arrow_map(docs.select(*text_key(), "text").where("text is not null"), work, _PIECES)
+
+def pieces(docs: DataFrame, listed: tuple[np.ndarray, np.ndarray] | None, length: int = LENGTH) -> DataFrame:
+    """h, first, id, bytes, and whether the hash is crowded, once for each piece that a task remembers.
+
+    listed: hashes, sorted, and those of them that are crowded. Without it docs has
+    the places of each text (h, lo, first, last, crowded) in its column at.
+    """
+
+    def asked(batch: pa.RecordBatch) -> Iterator[tuple]:
+        if listed is None:
+            for text, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist()):
+                raw = text.encode()
+                for v in at:
+                    yield v["h"], v["first"], raw[v["lo"] : v["lo"] + v["last"] - v["first"] + length], v["crowded"]
+            return
+        for _, own, (h, place, lo, hi) in _rows(batch.column("text"), length):
+            ok = np.flatnonzero(_listed(listed[0], h))
+            raw = own.tobytes()
+            for x, p, a, b, c in zip(h[ok].view(np.int64).tolist(), place[ok].tolist(), lo[ok].tolist(), hi[ok].tolist(), _listed(listed[1], h[ok]).tolist()):
+                yield x, a - p, raw[a : b + length], c
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from kithline.llm.textscan import chunks
+
+        seen: set[tuple[bytes, int]] = set()
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                out: list[tuple] = []
+                for h, first, piece, crowded in asked(part):
+                    digest = _digest(piece)
+                    if (digest, first) not in seen:
+                        if len(seen) < SEEN:
+                            seen.add((digest, first))
+                        out.append((h, first, _id(digest), piece, crowded))
+                if out:
+                    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["h", "first", "id", "piece", "crowded"])
+        seen.clear()
+        release()
+
+    return docs.mapInArrow(run, "h bigint, first int, id bigint, piece binary, crowded boolean")
 
 
 def repeated_starts(rows: list[tuple[int, bytes]], length: int = LENGTH) -> list[np.ndarray]:
@@ -195,7 +248,7 @@ def _intervals(mask: np.ndarray, start: int) -> list[int]:
 
 
 def compare(classes: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Rows (h, first, piece, n) grouped by h in a partition: repeated string starts of each, as intervals from the piece's start."""
+    """Rows (h, first, id, piece, n) in order of h, first and id: repeated string starts of each, as intervals from the piece's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -208,12 +261,15 @@ def compare(classes: DataFrame, length: int = LENGTH) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("h", "first", "piece", "n", "id"))):
+                if held and (row[0], row[1], row[4]) == (held[-1][0], held[-1][1], held[-1][4]):
+                    continue  # the same piece from another task
                 if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield solve(held)
                     held = []
                 held.append(row)
         if held:
             yield solve(held)
+        release()
 
     return classes.mapInArrow(run, "h bigint, id bigint, first int, spans array<int>")
 
@@ -234,36 +290,57 @@ def refined(classes: DataFrame, step: int, length: int = LENGTH) -> DataFrame:
     ).withColumn("id", F.xxhash64("piece"))
 
 
+def _ordered(classes: DataFrame, length: int) -> DataFrame:
+    return compare(classes.repartition("h").sortWithinPartitions("h", "first", "id"), length)
+
+
 def solved(classes: DataFrame, length: int = LENGTH, group: int = GROUP, steps: tuple[int, ...] = (48, 1)) -> DataFrame:
     """h, first, id and the repeated string starts of each class (h, first, id, piece, n); hashes with too many classes are refined first."""
-    ordered = lambda c: compare(c.repartition("h").sortWithinPartitions("h"), length)
     if not steps:
-        return ordered(classes)
+        return _ordered(classes, length)
     crowded = written(classes.groupBy("h").count().where(F.col("count") > group).select("h"), "crowded")
     if crowded.isEmpty():
-        return ordered(classes)
+        return _ordered(classes, length)
     fine = written(refined(classes.join(crowded, "h", "left_semi"), steps[0], length), "runs")
-    again = fine.groupBy("h", "first", "id", "piece").agg(F.sum("n").alias("n"))
+    again = written(fine.groupBy("h", "first", "id", "piece").agg(F.sum("n").alias("n")), "run-classes")
     back = (
         fine.select("h", "first", "id", "h0", "first0", "id0").distinct().join(solved(again, length, group, steps[1:]), ["h", "first", "id"])
         .groupBy("h0", "id0", "first0").agg(F.flatten(F.collect_list(F.transform("spans", lambda v: v + F.col("first") - F.col("first0")))).alias("spans"))
         .select(F.col("h0").alias("h"), F.col("id0").alias("id"), F.col("first0").alias("first"), "spans")
     )
-    return ordered(classes.join(crowded, "h", "left_anti")).unionByName(back)
+    return _ordered(classes.join(crowded, "h", "left_anti"), length).unionByName(back)
+
+
+def _hashes(rows: DataFrame) -> np.ndarray:
+    return np.sort(rows.select("h").toPandas()["h"].to_numpy(np.int64).view(np.uint64))
 
 
 def spans(docs: DataFrame, length: int = LENGTH, most_sent: int = MOST_SENT, group: int = GROUP) -> DataFrame:
     """k1, k2 and the repeated string starts (intervals) of each text that has some."""
     often = written(anchors(docs, length).groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "hashes")
-    total = often.count()
-    if total <= most_sent:
-        listed = np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))
-        found = pieces(docs, listed, length)
+    if often.count() <= most_sent:
+        found = places(docs, _hashes(often), length)
+    else:
+        found = places(docs, None, length).join(often, "h", "left_semi")
+    found = written(found, "places")
+    dropped(often)
+    classes = written(found.groupBy("h", "first", "last", "id").agg(F.count("*").alias("n")), "classes")
+    several = written(classes.groupBy("h").count().where("count > 1").select("h", (F.col("count") > group).alias("crowded")), "several")
+    texts = docs.where("text is not null")
+    if (total := several.count()) <= most_sent:
+        sent = pieces(texts.select("text"), (_hashes(several), _hashes(several.where("crowded"))), length)
     else:
-        found = pieces(docs, None, length).join(often, "h", "left_semi")
-    found = written(found.withColumn("id", F.xxhash64("piece")), "pieces")
-    classes = found.groupBy("h", "first", "id", "piece").agg(F.count("*").alias("n"))
-    alike = solved(classes, length, group)
+        at = found.join(several, "h").groupBy("k1", "k2").agg(F.collect_set(F.struct("h", "lo", "first", "last", "crowded")).alias("at"))
+        once = texts.select(*text_key(), "text").dropDuplicates(["k1", "k2"])
+        sent = pieces(once.join(at, ["k1", "k2"]).select("text", "at"), None, length)
+    alike = classes.where("n > 1").select("h", "id", "first", F.array(F.lit(0), F.col("last") - F.col("first") + 1).alias("spans"))
+    if total and not several.where("crowded").isEmpty():
+        sent = written(sent, "pieces")
+        full = written(sent.where("crowded").groupBy("h", "first", "id", "piece").agg(F.lit(1).cast("bigint").alias("n")), "crowded-pieces")
+        alike = alike.unionByName(solved(full, length, group))
+    if total:
+        plain = sent.where("not crowded").select("h", "first", "id", "piece", F.lit(1).cast("bigint").alias("n"))
+        alike = alike.unionByName(_ordered(plain, length))
     return (
         found.select("h", "first", "id", "k1", "k2", "lo").distinct().join(alike.where(F.size("spans") > 0), ["h", "first", "id"])
         .groupBy("k1", "k2").agg(F.flatten(F.collect_list(F.transform("spans", lambda s: s + F.col("lo")))).alias("spans"))
@@ -295,6 +372,10 @@ def cut(docs: DataFrame, length: int = LENGTH, most_sent: int = MOST_SENT, group
         cols = [batch.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha), pa.array(kept, pa.binary())]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
+    schema = f"doc_id {kind(docs, 'doc_id')}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary"
     rows = docs.select("doc_id", "text", *text_key())
-    rows = rows.join(spans(docs, length, most_sent, group), ["k1", "k2"], "left").select("doc_id", "text", "spans")
-    return arrow_map(rows, work, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    # texts shorter than length have nothing to be joined to
+    long = F.coalesce(F.octet_length("text") >= length, F.lit(False))
+    joined = rows.where(long).join(spans(docs, length, most_sent, group), ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    short = rows.where(~long).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans"))
+    return arrow_map(joined, work, schema).unionByName(arrow_map(short, work, schema))
