@@ -424,6 +424,11 @@ def test_longest_match_has_its_place(spark):
         ("<div hidden>n</div><p style='color:red; DISPLAY : none'>n</p>y", "y"), ("<pre>\n a\n  b\n</pre>c", " a\n  b\n\nc"), ("one<br>two<br><br>three", "one\ntwo\n\nthree"),
         ("<details><summary>s</summary>n<p>n</details><details open><summary>t</summary>y</details>", "s\nt\ny"), ("<!-- c --><td>cell</td>", "cell"), ("<blockquote>q</blockquote>", "  q"),
         ("<select><option>a<option>b</select>", "a\nb"), ("", ""), ("<p", ""), ("</p></div>x", "x"), ("<dl><dt>t<dd>d<dt>u</dl>", "t\n  d\nu"), ("  a \n\t b  ", "a b"),
+        ("<p>a <svg class=i/> b</p>", "a b"), ("<div>x<svg/>y</div>", "xy"), ("<p>a<svg><title>t</title><path d=1 /><text x=1>v</text><g><text>w</text></g></svg>b</p>", "a v wb"),
+        ("<p>n <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></math> m</p>", "n x=1 m"), ("<svg><foreignObject><p>in</p></foreignObject></svg>out", "in\n\nout"),
+        ("<textarea><b>a</b> &amp; c</textarea>", "<b>a</b> & c"), ("<div style='visibility:hidden'>n<span style='visibility: visible'>y</span>n</div>z", "y\nz"),
+        ("<table><tr><td rowspan=2>A<td>1<tr><td>2</table>", "A  1\n   2"), ("<table><tr><td colspan=2>wide<td>c<tr><td>a<td>b<td>d</table>", "wide     c\na     b  d"),
+        ("<table><tr><td rowspan=0>A<td>1<tr><td>2<tr><td>3</table>", "A  1\n   2\n   3"), ("<svg><g>", ""), ("<div>a<svg></div>b", "a\nb"), ("<svg><p>x</p>y", "x\n\ny"), ("<p>x</svg>y</math>", "xy"),
     ],
 )
 def test_html_layout(html, text):
