@@ -8,9 +8,14 @@ window is checked word by word on 64-bit word identities, so equal codes of
 different words do no harm. Matched windows give the hit words of a document,
 the items found, and the longest verbatim match with its place.
 
+Every suffix of an item that has a whole window is searched for by that window;
+windows that follow one another in both texts make up the longest verbatim match
+of their suffixes, and the longest of a document is kept with its place in both.
+
 Shards are independent, so there is no shuffle. Test items travel to the tasks
-in blocks of at most ``BLOCK_WORDS`` words; with more than one block the texts
-pass through one search for each block in the same stage, carrying what was found.
+in blocks of about ``BLOCK_WORDS`` words. With more than one block, what was found
+is written beside the texts after each, and the next block is read from the table
+only then: the driver and the tasks never hold more than one.
 
 Windows are 13 consecutive words of an item; a shorter item with words is one
 window. A document is contaminated if it has hit words and 20 times their number
@@ -19,21 +24,24 @@ reaches its words.
 Edge cases: null and empty texts have no words and are never contaminated; whole
 texts are searched; a window never crosses documents; repeated rows give repeated
 results; items with a null id hit words but aren't listed; items with equal ids
-count once; an empty table on either side gives the defined counts with no hits;
-extra columns are ignored.
+count once; of equally long matches the first in the document counts, then the
+smallest item id (null last), then the first place in the item; an empty table on
+either side gives the defined counts with no hits; extra columns are ignored; ids
+may have any type.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from kithline.llm.common import arrow_map
+from kithline.llm.common import dropped, kind, release, written
 
 WINDOW = 13
 #: Words of test items that travel to the tasks at once, and bytes of text in a shard.
@@ -180,46 +188,64 @@ def _search_batch(batch: pa.RecordBatch, items: Items) -> pa.RecordBatch:
         new[1:] = (np.diff(p) != 1) | (np.diff(items.start[w]) != 1) | (items.item[w][1:] != items.item[w][:-1])
         head = np.flatnonzero(new)
         length = np.diff(np.append(head, len(w))) - 1 + items.size[w[head]]
-        k = int(np.argmax(length))
-        if best[d] is None or int(length[k]) > best[d]["words"]:
-            best[d] = {"item_id": items.ids[items.item[w[head[k]]]], "first_word": int(p[head[k]] - a), "item_word": int(items.place[w[head[k]]]), "words": int(length[k])}
+        length = length.tolist()
+        most = max(length)
+        match = [{"item_id": items.ids[items.item[w[k]]], "first_word": int(p[k] - a), "item_word": int(items.place[w[k]]), "words": most} for k, n in zip(head.tolist(), length) if n == most]
+        best[d] = min([*match, *([best[d]] if best[d] else [])], key=_order)
     return pa.RecordBatch.from_arrays(
-        [*(batch.column(i) for i in range(batch.num_columns - 4)), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.int64())), pa.array(best, _LONGEST)],
+        [*(batch.column(i) for i in range(batch.num_columns - 4)), *(pa.array(v, batch.schema.field(k).type) for k, v in (("n_words", n_words), ("spans", spans), ("found", found), ("longest", best)))],
         batch.schema.names,
     )
 
 
-_LONGEST = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("item_word", pa.int64()), ("words", pa.int64())])
-_FOUND = StructType([StructField("n_words", LongType()), StructField("spans", ArrayType(LongType())), StructField("found", ArrayType(LongType())), StructField("longest", StructType([StructField(k, LongType()) for k in ("item_id", "first_word", "item_word", "words")]))])
+def _order(match: dict) -> tuple:
+    """Longest matches first, then by place in the document, item and place in the item."""
+    item = match["item_id"]
+    return -match["words"], match["first_word"], item is None, 0 if item is None else item, match["item_word"]
+
+
+FOUND = ["n_words", "spans", "found", "longest"]
+
 
+def found_type(item_id: str) -> str:
+    return f"n_words bigint, spans array<bigint>, found array<{item_id}>, longest struct<item_id: {item_id}, first_word: bigint, item_word: bigint, words: bigint>"
 
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> list[list[Row]]:
-    """Test items in blocks of bounded size; a block is all that is on its way at once."""
+
+def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, Callable[[int], list[Row]]]:
+    """The number of blocks that the test items are dealt to, and how to read one of them; its size is bounded."""
     rows = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     size = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     n = max(1, -(-size // (2 * block_words)))
     part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [(rows if n == 1 else rows.where(part == k)).collect() for k in range(n)]
+    return n, lambda k: (rows if n == 1 else rows.where(part == k)).collect()
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs with n_words, spans (starts and ends of hit words), found (item ids) and longest."""
-    from kithline.llm import textscan
-
-    clash = [c for c in docs.columns if c in _FOUND.names]
-    out = docs.drop(*clash)
-    schema = StructType([*out.schema.fields, *_FOUND.fields])
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in _FOUND.fields}
-    out = out.select("*", *(v.alias(k) for k, v in empty.items()))
-    for block in blocks(benchmark):
-        items = Items([r["text"] for r in block], [r["item_id"] for r in block])
-
-        def run(batches, items=items):
+    out = docs.drop(*FOUND)
+    more = StructType.fromDDL(found_type(kind(benchmark, "item_id")))
+    out = out.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more.fields))
+    schema = StructType([*docs.drop(*FOUND).schema.fields, *more.fields])
+    n, block = blocks(benchmark)
+    before = None
+    for k in range(n):
+        rows = block(k)
+
+        def run(batches, texts=[r["text"] for r in rows], ids=[r["item_id"] for r in rows]):
+            from kithline.llm import textscan
+
+            items = Items(texts, ids)
             for batch in batches:
                 for part in textscan.chunks(batch, "text", SHARD_BYTES):
                     yield _search_batch(part, items)
+            release()
 
         out = out.mapInArrow(run, schema)
+        if k + 1 < n:
+            out = written(out, "found")
+            if before is not None:
+                dropped(before)
+            before = out
     return out
 
 
@@ -238,7 +264,7 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match: its words, where it begins, and the item."""
 
     def digest(batches):
         for batch in batches:
@@ -248,12 +274,15 @@ def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             sha = [hashlib.sha256(",".join(f).encode()).hexdigest() for f in found]
             bad = [is_contaminated(a, b) for a, b in zip(hit, n_words)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(sha), pa.array(bad), batch.column("longest")],
+                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), batch.column("longest")],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
             )
 
     found = find(docs.select("doc_id", "text"), benchmark).drop("text")
-    return found.mapInArrow(digest, "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest struct<item_id: bigint, first_word: bigint, item_word: bigint, words: bigint>")
+    longest = found_type(kind(benchmark, "item_id")).partition(", longest ")[2]
+    out = found.mapInArrow(digest, f"doc_id {kind(docs, 'doc_id')}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest {longest}")
+    place = {"longest_words": F.coalesce("longest.words", F.lit(0).cast("bigint")), "longest_first_word": F.col("longest.first_word"), "longest_item_id": F.col("longest.item_id"), "longest_item_word": F.col("longest.item_word")}
+    return out.withColumns(place).drop("longest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -266,9 +295,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield batch.filter(pa.array([not x for x in bad], pa.bool_())).select(names)
 
     # what docs already calls by these names is kept aside, whatever it holds
-    aside = {c: f"kith_own_{c}" for c in docs.columns if c in _FOUND.names}
+    aside = {c: f"kith_own_{c}" for c in docs.columns if c in FOUND}
     found = find(docs.withColumnsRenamed(aside), benchmark)
-    found = found.withColumnsRenamed({f: f"kith_{f}" for f in _FOUND.names}).withColumnsRenamed({v: k for k, v in aside.items()})
+    found = found.withColumnsRenamed({f: f"kith_{f}" for f in FOUND}).withColumnsRenamed({v: k for k, v in aside.items()})
     return found.mapInArrow(keep, docs.schema)
 
 
@@ -278,20 +307,24 @@ WITH d AS (
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 b AS (
-  SELECT item_id,
+  SELECT row_number() OVER () AS iid, item_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark),
 bw AS (
-  SELECT DISTINCT item_id, least(len(w), 13) AS m, array_to_string(w[j:j + least(len(w), 13) - 1], ' ') AS win
-  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS j FROM b WHERE len(w) > 0)),
+  SELECT iid, item_id, j, least(len(w), 13) AS m, array_to_string(w[j:j + least(len(w), 13) - 1], ' ') AS win
+  FROM (SELECT iid, item_id, w, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS j FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT m FROM bw),
 dw AS (
   SELECT rid, m, p, array_to_string(w[p:p + m - 1], ' ') AS win
   FROM (SELECT rid, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, sizes WHERE len(w) >= m)),
-hits AS (SELECT dw.rid, dw.p, dw.m, bw.item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
+hits AS (SELECT dw.rid, dw.p, dw.m, bw.iid, bw.j, bw.item_id FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win),
 cov AS (SELECT rid, count(DISTINCT q) AS n_hit FROM (SELECT rid, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT rid, p, m FROM hits)) GROUP BY rid),
+one AS (SELECT rid, iid, item_id, m, p, j, p - row_number() OVER (PARTITION BY rid, iid, p - j ORDER BY p) AS g FROM hits),
+lens AS (SELECT rid, item_id, min(p) - 1 AS first_word, min(j) - 1 AS item_word, count(*) + any_value(m) - 1 AS words FROM one GROUP BY rid, iid, item_id, p - j, g),
+lng AS (SELECT * FROM lens QUALIFY row_number() OVER (PARTITION BY rid ORDER BY words DESC, first_word, item_id NULLS LAST, item_word) = 1),
 its AS (SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hits WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid)
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+       CAST(coalesce(words, 0) AS BIGINT) AS longest_words, CAST(first_word AS BIGINT) AS longest_first_word, lng.item_id AS longest_item_id, CAST(item_word AS BIGINT) AS longest_item_word
+FROM d LEFT JOIN cov USING (rid) LEFT JOIN its USING (rid) LEFT JOIN lng USING (rid)
 """

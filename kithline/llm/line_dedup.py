@@ -29,6 +29,7 @@ LINES_A_CHUNK = 3
 MIN_LINES, MIN_CHARS = 2, 40
 #: Weight of the line before in the rolling hash of two lines.
 ROLL = 31
+COUNTS = ["n_lines", "n_removed", "n_chunks_removed"]
 
 
 def line_hash(line: Column) -> Column:
@@ -74,7 +75,7 @@ def repeated(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_C
 
 
 def judge(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of docs, text cleaned, and n_lines, n_removed (lines), n_chunks_removed."""
+    """All columns of docs but those named like the counts, text cleaned, and n_lines, n_removed (lines), n_chunks_removed."""
     # removal lists by document and text hash: (chunk hash, stays once here)
     again = repeated(docs, min_lines, min_chars).select(F.xxhash64("kith_text").alias("kith_key"), F.sha2("kith_text", 256).alias("kith_sha"), "first_doc")
     own = (
@@ -87,8 +88,7 @@ def judge(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHAR
         .groupBy("doc_id").agg(F.collect_set(F.struct(F.col("kith_sha"), F.coalesce(F.col("doc_id") == F.col("first_doc"), F.col("first_doc").isNull()).alias("stays"))).alias("kith_again"))
         .withColumnRenamed("doc_id", "kith_doc")
     )
-    clash = [c for c in docs.columns if c in ("n_lines", "n_removed", "n_chunks_removed")]
-    base = docs.drop(*clash)
+    base = docs.drop(*COUNTS)
     out = with_chunks(base.join(lists, F.col("doc_id").eqNullSafe(F.col("kith_doc")), "left").drop("kith_doc"))
     # 0: stays, 1: removed. A chunk that stays once stays at its first place in the text.
     marks = F.expr("""transform(kith_chunks, (c, k) -> if(kith_again is null, 0, case
@@ -110,8 +110,10 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """docs with repeated chunks removed from their texts."""
-    return judge(docs).select(docs.columns)
+    """docs with repeated chunks removed from their texts; no other column changes, whatever it is called."""
+    aside = {c: f"kith_own_{c}" for c in COUNTS if c in docs.columns}
+    cleaned = judge(docs.withColumnsRenamed(aside)).drop(*COUNTS)
+    return cleaned.withColumnsRenamed({v: k for k, v in aside.items()}).select(docs.columns)
 
 
 ORACLE_SQL = rf"""

@@ -358,6 +358,8 @@ def test_line_dedup(spark):
     want = lines_brute(texts)
     assert got == {i: want.get(i) for i in range(len(texts))} and sum(map(len, want.values())) < sum(len(t or "") for t in texts)
     assert line_dedup.report(empty(spark)).count() == 0
+    counts = docs.withColumns({"n_lines": F.lit(111), "n_removed": F.lit(222), "n_chunks_removed": F.lit(333)})
+    assert {tuple(r) for r in line_dedup.clean(counts).select("n_lines", "n_removed", "n_chunks_removed").collect()} == {(111, 222, 333)}
     odd = spark.createDataFrame([(None, texts[0], "x", "y", 1), (7, texts[0], "x", "y", 1)], DOCS)
     assert {r.doc_id: len(r.text) for r in line_dedup.clean(odd).collect()}[7] > 0
 
@@ -398,7 +400,7 @@ def test_decontamination(spark, monkeypatch):
     row = lambda r: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated)
     assert {r.doc_id: row(r) for r in decontaminate.judge(docs, bench).collect()} == want
     monkeypatch.setattr(decontaminate.blocks, "__defaults__", (60,))  # several blocks of items
-    assert len(decontaminate.blocks(bench)) > 2
+    assert decontaminate.blocks(bench)[0] > 2
     assert {r.doc_id: row(r) for r in decontaminate.judge(docs, bench).collect()} == want
     kept = decontaminate.clean(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, v in want.items() if not v[4]}
@@ -409,8 +411,11 @@ def test_decontamination(spark, monkeypatch):
 def test_longest_match_has_its_place(spark):
     item = " ".join(f"i{k}" for k in range(40))
     text = "p q r " + " ".join(f"i{k}" for k in range(5, 30)) + " s"
-    got = decontaminate.judge(frame(spark, [text]), spark.createDataFrame([(4, item)], "item_id bigint, text string")).first().longest
-    assert (got.item_id, got.first_word, got.item_word, got.words) == (4, 3, 5, 25)
+    place = lambda r: (r.longest_item_id, r.longest_first_word, r.longest_item_word, r.longest_words)
+    got = decontaminate.judge(frame(spark, [text, "none", None, f"{text} {text}"]), spark.createDataFrame([(4, item)], "item_id bigint, text string")).orderBy("doc_id").collect()
+    assert [place(r) for r in got] == [(4, 3, 5, 25), (None, None, None, 0), (None, None, None, 0), (4, 3, 5, 25)]
+    named = decontaminate.judge(frame(spark, [text]).withColumn("doc_id", F.lit("d")), spark.createDataFrame([("b", item), ("a", item), (None, item)], "item_id string, text string")).first()
+    assert (named.doc_id, named.n_items) == ("d", 2) and place(named) == ("a", 3, 5, 25)
 
 
 # 10
