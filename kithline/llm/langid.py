@@ -3,7 +3,8 @@
 A text's vector counts hashed byte trigrams around letters (ASCII case folded,
 digits and marks as blanks) in ``DIMENSIONS`` cells, weighted by 1 + log tf and
 inverse document frequency and normalised. Each language has several centroids
-from spherical k-means. The nearest centroid by cosine gives the language; a text
+from spherical k-means, fitted in a task of its own on a bounded sample of its
+texts; any number of languages can be learnt, and the model has 64 KB for each. The nearest centroid by cosine gives the language; a text
 further from it than nearly all training texts of that language is marked
 rejected (and is ``und`` when ``reject`` is asked for).
 
@@ -11,7 +12,8 @@ Edge cases: null text and text without a letter are ``und`` with score 0; whole
 texts are scanned; equal cosines go to the first language in name order; repeated
 rows give repeated results; with nothing to learn from all is ``und``; an empty
 table gives an empty result; extra columns are ignored; rows with a null id are
-judged and never learnt from.
+judged and never learnt from; doc_id may have any type. Texts are judged in slices
+of bounded bytes and rows.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kithline.llm.common import arrow_map, fold, held_out, sample_fraction, sampled
+from kithline.llm.common import arrow_map, fold, held_out, kind, written
 
 DIMENSIONS = 4096
-#: Bounds of the fitted model: texts of each language, centroids of each language, languages.
-MOST_PER_LANGUAGE, CENTROIDS, MOST_LANGUAGES = 300, 4, 400
+#: Bounds of the fitted model: texts of each language, centroids of each language. Rows that are judged at once.
+MOST_PER_LANGUAGE, CENTROIDS = 300, 4
+ROWS = 256
 #: Share of training texts of a language that its rejection distance leaves out.
 REJECTED_SHARE = 0.005
 
@@ -99,44 +103,48 @@ def _k_means(v: np.ndarray, k: int) -> np.ndarray:
     return centre
 
 
-def fit_centroids(n: np.ndarray, language: list[str], centroids: int = CENTROIDS) -> Centroids:
-    names = sorted(set(language))
-    model = Centroids(names, np.log((len(n) + 1) / ((n > 0).sum(0) + 1)) + 1, np.zeros((0, DIMENSIONS)), np.zeros(0, np.int64), np.zeros(len(names)))
-    v = model.vectors(n)
-    code = np.array([names.index(x) for x in language], np.int64)
-    centres = [_k_means(v[code == j], centroids) for j in range(len(names))]
-    if names:
-        model.centre = np.concatenate(centres)
-        model.language = np.repeat(np.arange(len(names)), [len(c) for c in centres])
-        model.floor = np.array([np.quantile((v[code == j] @ centres[j].T).max(1), REJECTED_SHARE) for j in range(len(names))])
-    return model
+def _dense(cells: list, n: list) -> np.ndarray:
+    out = np.zeros((len(cells), DIMENSIONS))
+    for i, (at, k) in enumerate(zip(cells, n)):
+        out[i, np.asarray(at, np.int64)] = k
+    return out
 
 
 def fit(docs: DataFrame, most_per_language: int = MOST_PER_LANGUAGE, centroids: int = CENTROIDS) -> Centroids:
-    """Centroids from at most about most_per_language documents of each language outside fold 2."""
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", "text", "lang")
-    there = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not there:
-        return fit_centroids(np.zeros((0, DIMENSIONS)), [], centroids)
-    take = F.lit(False)
-    for name, total in there.items():
-        fraction = sample_fraction(total, most_per_language)
-        take = take | ((F.col("lang") == name) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(fraction * (1 << 30)))))
+    """Centroids from the most_per_language first documents of each language, by id hash, outside fold 2."""
+    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 2)).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # each task passes on most_per_language ids of a language at most
+    chosen = usable.select("doc_id", "lang").withColumn("at", F.row_number().over(by_hash)).where(F.col("at") <= most_per_language).select("doc_id", "lang").distinct()
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = counts(batch.column("text")).astype(np.int32)
         ok = has_letter(batch.column("text"))
-        cells = [np.flatnonzero(row) for row in n]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("lang").cast(pa.string()), pa.array([c.astype(np.int32) for c in cells], pa.list_(pa.int32())), pa.array([row[c] for row, c in zip(n, cells)], pa.list_(pa.int32()))],
-            ["doc_id", "lang", "cell", "n"],
-        ).filter(pa.array(ok))
-
-    rows = arrow_map(usable.where(take), work, "doc_id bigint, lang string, cell array<int>, n array<int>").toPandas().sort_values("doc_id", ignore_index=True)
-    n = np.zeros((len(rows), DIMENSIONS))
-    for i, (cell, k) in enumerate(zip(rows["cell"], rows["n"])):
-        n[i, np.asarray(cell, np.int64)] = k
-    return fit_centroids(n, rows["lang"].to_list(), centroids)
+        cells, sizes = [], []
+        for a in range(0, batch.num_rows, ROWS):
+            for row in counts(batch.column("text").slice(a, ROWS)):
+                cells.append(np.flatnonzero(row).astype(np.int32))
+                sizes.append(row[cells[-1]].astype(np.int32))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang").cast(pa.string()), pa.array(cells, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.int32()))], ["doc_id", "lang", "cell", "n"]).filter(pa.array(ok))
+
+    rows = written(arrow_map(usable.join(chosen, ["doc_id", "lang"]), work, f"doc_id {kind(docs, 'doc_id')}, lang string, cell array<int>, n array<int>"), "language-samples")
+    total = rows.count()
+    seen = np.zeros(DIMENSIONS)
+    for r in rows.select(F.explode("cell").alias("cell")).groupBy("cell").count().collect():  # at most DIMENSIONS rows
+        seen[r["cell"]] = r["count"]
+    idf = np.log((total + 1) / (seen + 1)) + 1
+    empty = Centroids([], idf, np.zeros((0, DIMENSIONS), np.float32), np.zeros(0, np.int64), np.zeros(0))
+
+    def one(texts: pd.DataFrame) -> pd.DataFrame:
+        texts = texts.assign(key=[np.asarray(c).tobytes() + np.asarray(k).tobytes() for c, k in zip(texts["cell"], texts["n"])]).sort_values(["doc_id", "key"], ignore_index=True)
+        v = empty.vectors(_dense(texts["cell"], texts["n"]))
+        centre = _k_means(v, centroids).astype(np.float32)
+        return pd.DataFrame({"lang": texts["lang"].iloc[:1], "centre": [centre.ravel()], "floor": [float(np.quantile((v @ centre.T.astype(float)).max(1), REJECTED_SHARE))]})
+
+    fitted = rows.groupBy("lang").applyInPandas(one, "lang string, centre array<float>, floor double").toPandas().sort_values("lang", ignore_index=True)
+    if not len(fitted):
+        return empty
+    centres = [np.asarray(c, np.float32).reshape(-1, DIMENSIONS) for c in fitted["centre"]]
+    return Centroids(fitted["lang"].to_list(), idf, np.concatenate(centres), np.repeat(np.arange(len(centres)), [len(c) for c in centres]), fitted["floor"].to_numpy(float))
 
 
 def identify(docs: DataFrame, model: Centroids, reject: bool = False) -> DataFrame:
@@ -146,7 +154,8 @@ def identify(docs: DataFrame, model: Centroids, reject: bool = False) -> DataFra
         texts = batch.column("text")
         ok = has_letter(texts) & bool(len(model.centre))
         if len(model.centre):
-            best, cosine = model.nearest(counts(texts))
+            near = [model.nearest(counts(texts.slice(a, ROWS))) for a in range(0, len(texts), ROWS)]
+            best, cosine = (np.concatenate([x[i] for x in near]) for i in (0, 1))
             far = cosine < model.floor[best]
             names = [model.languages[j] if good and not (reject and no) else "und" for j, good, no in zip(best, ok, far)]
         else:
@@ -157,4 +166,4 @@ def identify(docs: DataFrame, model: Centroids, reject: bool = False) -> DataFra
         )
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return arrow_map(rows, work, "doc_id bigint, held_out boolean, lang_pred string, score double, rejected boolean")
+    return arrow_map(rows, work, f"doc_id {kind(docs, 'doc_id')}, held_out boolean, lang_pred string, score double, rejected boolean")

@@ -1,19 +1,28 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words (ASCII case folded, split at ASCII marks) and their first 4, 5
-and 6 bytes. On a bounded sample of labelled texts the terms that go with a label
-are picked by lift and chi-square; the sample's vectors over these terms form
-postings in blocks of ``BLOCK`` examples, each with its largest weight. A search
-scores the most promising blocks, then every block whose bound reaches the k-th
-best similarity found: the result is that of a full scan. Votes are weighted by
-similarity and by how the sample thinned the classes, and calibrated by isotonic
-regression on leave-one-out votes.
-
-Edge cases: null and empty texts, and texts without any term, get the calibrated
-rate of examples without neighbours; whole texts are scanned; ties are broken by
-the order of examples (by id hash); repeated rows give repeated results; without
-labels the score is 0; an empty table gives an empty result; extra columns are
-ignored; rows with a null id are scored and never learnt from.
+Terms are the words of a text (ASCII case folded, split at ASCII marks) and those
+of their first 4, 5 and 6 bytes that go with the label. A term weighs (1 + log tf)
+x idf x relevance; relevance is ``FLOOR`` for a term that has nothing to do with the
+label and rises to 1 with the standard errors by which it is more frequent in
+toxic examples. So every text with words has a vector over all of them, its copies
+are at cosine 1, and texts that share what the label goes with are near.
+
+The examples, a bounded sample of labelled texts, form postings in blocks of
+``BLOCK`` examples; for each term and block with that term the largest weight is
+kept. A search scores the most promising blocks, then every block whose bound
+reaches the k-th best similarity found: the result is that of a full scan. The
+score of a text is the share of its neighbours' votes, weighted by similarity
+squared and by how the sample thinned the classes, and calibrated by isotonic
+regression on leave-one-out votes. Neighbours are the evidence.
+
+Edge cases: null and empty texts, and texts without any known word, get the
+calibrated rate of examples without neighbours; whole texts are scanned; ties are
+broken by the order of examples (by id, then text); repeated rows give repeated
+results; a document with conflicting labels counts as toxic, one with several
+texts as several examples; texts of more than ``MOST_BYTES`` bytes are scored, but
+aren't examples; without labels the score is 0; an empty table gives an empty
+result; extra columns are ignored; rows with a null id are scored and never learnt
+from; doc_id may have any type.
 """
 
 from __future__ import annotations
@@ -25,28 +34,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import arrow_map, fold, held_out, sample_fraction, sampled, written
+from kithline.llm.common import arrow_map, fold, held_out, kind, sample_fraction, sampled
 
-#: Bounds of the fitted model: labelled examples of each class, and terms.
-MOST_PER_CLASS, MOST_TERMS = 3_000, 4_000
-#: A term goes with the label if it is this many times likelier there, is in so many examples, and so many standard errors from chance.
-LIFT, SUPPORT, ERRORS = 4.0, 4, 3.5
+#: Bounds of the fitted model: labelled examples of each class, and bytes of one.
+MOST_PER_CLASS, MOST_BYTES = 2_000, 200_000
+#: Relevance of a term that doesn't go with the label; standard errors at which it begins to rise and at which it is 1; toxic examples that such a term is in at least.
+FLOOR, FROM, TO, SUPPORT = 0.03, 2.5, 7.0, 3
 NEIGHBOURS, BLOCK = 15, 64
 PREFIXES = (4, 5, 6)
+_PREFIX = np.uint64(0x5851F42D4C957F2D)
 
 
 def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (text, term) with frequencies, sorted; and the words of each text."""
+    """Distinct (text, term) with frequencies, sorted; and whether the term is a whole word."""
     from kithline.llm.textscan import ALNUM, LOWER, Words, flat
 
     words = Words(*flat(texts), ALNUM, LOWER)
-    terms, docs = [words.hashes()], [words.doc]
-    for k in PREFIXES:
-        long = words.end - words.start > k
-        terms.append(words.span_hash(words.start[long], words.start[long] + k))
-        docs.append(words.doc[long])
-    term, doc = np.concatenate(terms), np.concatenate(docs)
-    return *_counted(doc, term), words.per_doc()
+    parts = [(*_counted(words.doc, words.hashes()), True)]
+    long = [words.end - words.start > k for k in PREFIXES]
+    starts = [words.span_hash(words.start[x], words.start[x] + k) ^ _PREFIX for x, k in zip(long, PREFIXES)]
+    parts.append((*_counted(np.concatenate([words.doc[x] for x in long]), np.concatenate(starts)), False))
+    doc, term, tf = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    whole = np.concatenate([np.full(len(p[0]), p[3]) for p in parts])
+    order = np.lexsort((term, doc))
+    return doc[order], term[order], tf[order], whole[order]
 
 
 def _counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -58,19 +69,28 @@ def _counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[at], term[at], np.diff(np.append(at, len(doc)))
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges one after another, and the size of each range."""
+    size = hi - lo
+    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+
+
 @dataclass
 class Examples:
     """The fitted model."""
 
     terms: np.ndarray  # sorted identities
-    idf: np.ndarray
-    ids: np.ndarray  # doc_id of each example
+    weigh: np.ndarray  # idf x relevance of each
+    unknown: float  # the same of a word that no example has
+    ids: list  # doc_id of each example
     label: np.ndarray
     weight: np.ndarray  # how many documents an example stands for
     post_id: np.ndarray  # postings by (term, example)
     post_weight: np.ndarray
-    pointer: np.ndarray  # term x (blocks + 1) into the postings
-    block_max: np.ndarray  # term x block
+    term_at: np.ndarray  # term: its first entry
+    entry_block: np.ndarray  # entries: a term in a block
+    entry_max: np.ndarray
+    entry_at: np.ndarray  # entry: its first posting
     steps_x: np.ndarray
     steps_y: np.ndarray
     silent: float  # rate of examples without neighbours
@@ -81,61 +101,64 @@ class Examples:
         at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
         return at, self.terms[at] == term
 
-    def _scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        lo, hi = self.pointer[terms][:, blocks].ravel(), self.pointer[terms][:, blocks + 1].ravel()
-        size = hi - lo
-        take = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        w = np.repeat(np.repeat(weights, len(blocks)), size)
-        return np.bincount(self.post_id[take], self.post_weight[take] * w, len(self.ids))
+    def _scores(self, entries: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        take, size = _ranges(self.entry_at[entries], self.entry_at[entries + 1])
+        return np.bincount(self.post_id[take], self.post_weight[take] * np.repeat(weights, size), len(self.ids))
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with positive similarity, and the similarities."""
-        bound = weights @ self.block_max[terms]
+        entries, size = _ranges(self.term_at[terms], self.term_at[terms + 1])
+        w, block = np.repeat(weights, size), self.entry_block[entries]
+        blocks = -(-len(self.ids) // BLOCK)
+        bound = np.bincount(block, w * self.entry_max[entries], blocks)
         order = np.argsort(-bound, kind="stable")
-        first = order[: k // BLOCK + 2]
-        score = self._scores(terms, weights, np.sort(first))
+        now = np.zeros(blocks, bool)
+        now[order[: k // BLOCK + 2]] = True
+        mine = now[block]
+        score = self._scores(entries[mine], w[mine])
         if without >= 0:
             score[without] = 0
-        floor = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
-        rest = order[len(first) :]
-        rest = np.sort(rest[bound[rest] >= max(floor, 1e-12)])
-        if len(rest):
-            score += self._scores(terms, weights, rest)
+        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
+        mine = (~now & (bound >= max(least - 1e-9, 1e-12)))[block]
+        if mine.any():
+            score += self._scores(entries[mine], w[mine])
             if without >= 0:
                 score[without] = 0
         score = np.round(score, 9)
-        best = np.argsort(-score, kind="stable")[:k]
-        best = best[score[best] > 0]
+        if len(score) > k:  # ties go by order
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            some = np.flatnonzero(score >= max(least, 1e-9))
+        else:
+            some = np.flatnonzero(score > 0)
+        best = some[np.argsort(-score[some], kind="stable")[:k]]
         return best, score[best]
 
-    def vote(self, best: np.ndarray, similarity: np.ndarray, mass: float, n_words: int) -> float:
-        """Share of similarity-weighted votes for the label, times the mass of known terms for a text of that length."""
+    def vote(self, best: np.ndarray, similarity: np.ndarray) -> float:
+        """Share of the votes that are for the label; -1 without neighbours."""
         w = similarity * similarity * self.weight[best]
-        return float((w * self.label[best]).sum() / w.sum() * mass / np.log(10 + n_words)) if len(best) else -1.0
+        return float((w * self.label[best]).sum() / w.sum()) if len(best) else -1.0
 
     def calibrated(self, vote: float) -> float:
         if vote < 0 or not len(self.steps_x):
             return self.silent
         return float(np.interp(vote, self.steps_x, self.steps_y))
 
-    def vectors(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Rows (text, term number, unit-length weight) over the known terms; and the length that each text's vector had."""
+    def vectors(self, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows (text, term number, weight in the unit vector) of the known terms; words that no example has count in the length."""
         at, ok = self.known(term)
-        doc, at, tf = doc[ok], at[ok], tf[ok]
-        w = (1 + np.log(tf)) * self.idf[at]
+        w = (1 + np.log(tf)) * np.where(ok, self.weigh[at] if len(self.terms) else 0.0, np.where(whole, self.unknown, 0.0))
         norm = np.sqrt(np.bincount(doc, w * w, (doc.max() + 1) if len(doc) else 0))
-        return doc, at, w / norm[doc] if len(doc) else w, norm
+        return doc[ok], at[ok], w[ok] / norm[doc[ok]]
 
-    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list[int]]]:
-        *rows, n_words = term_counts(texts)
-        doc, at, w, mass = self.vectors(*rows)
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, list[list]]:
+        doc, at, w = self.vectors(*term_counts(texts))
         out, evidence = np.full(len(texts), self.silent), [[] for _ in range(len(texts))]
         starts = np.searchsorted(doc, np.arange(len(texts) + 1))
         for d in np.unique(doc):
             a, b = starts[d], starts[d + 1]
             best, similarity = self.search(at[a:b], w[a:b], NEIGHBOURS)
-            out[d] = self.calibrated(self.vote(best, similarity, mass[d], n_words[d]))
-            evidence[d] = self.ids[best[:3]].tolist()
+            out[d] = self.calibrated(self.vote(best, similarity))
+            evidence[d] = [self.ids[i] for i in best[:3]]
         return out, evidence
 
 
@@ -150,42 +173,54 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
     return np.array([v for b in blocks for v in b[:2]]), np.array([b[2] / b[3] for b in blocks for _ in range(2)])
 
 
-def index(ids: np.ndarray, label: np.ndarray, weight: np.ndarray, terms: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, n_words: np.ndarray) -> Examples:
-    """Blocks, postings and calibration over examples given as (doc, term, tf) rows."""
-    n, total = len(ids), weight.sum()
-    at = np.minimum(np.searchsorted(terms, term), max(len(terms) - 1, 0))
-    ok = terms[at] == term if len(terms) else np.zeros(len(term), bool)
-    df = np.bincount(at[ok], weight[doc[ok]], len(terms))
-    model = Examples(terms, np.log((total + 1) / (df + 1)) + 1, ids, label, weight, *[np.zeros(0)] * 6, silent=0.0)
-    if not len(terms) or not n:
+def relevance(bad: np.ndarray, fine: np.ndarray, n_bad: float, n_fine: float) -> np.ndarray:
+    """FLOOR to 1 by the standard errors that a term is more frequent in n_bad toxic examples than in n_fine others."""
+    p = (bad + fine) / max(n_bad + n_fine, 1)
+    apart = (bad / max(n_bad, 1) - fine / max(n_fine, 1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / max(n_bad, 1) + 1 / max(n_fine, 1)))
+    return FLOOR + (1 - FLOOR) * np.where(bad >= SUPPORT, np.clip((apart - FROM) / (TO - FROM), 0, 1), 0.0)
+
+
+def index(ids: list, label: np.ndarray, weight: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, whole: np.ndarray) -> Examples:
+    """Weights, blocks, postings and calibration over examples given as (doc, term, tf, whole word) rows."""
+    n, none = len(ids), np.zeros(0)
+    model = Examples(none.astype(np.uint64), none, 0.0, [], none, none, none.astype(np.int64), *[none] * 7, silent=0.0)
+    if not n:
         return model
-    doc, at, w, mass = model.vectors(doc, term, tf)
+    terms, first, at = np.unique(term, return_index=True, return_inverse=True)
+    bad, fine = (np.bincount(at, v[doc], len(terms)) for v in (label, 1 - label))
+    related = relevance(bad, fine, label.sum(), (1 - label).sum())
+    keep = whole[first] | (related > FLOOR)
+    total = weight.sum()
+    idf = np.log((total + 1) / (np.bincount(at, weight[doc], len(terms)) + 1)) + 1
+    model.terms, model.weigh, model.unknown = terms[keep], (idf * related)[keep], float((np.log(total + 1) + 1) * FLOOR)
+    doc, at, w = model.vectors(doc, term, tf, whole)
     # examples with the same leading term go to neighbouring blocks, so that bounds are tight
-    lead = np.full(n, len(terms))
+    lead = np.full(n, len(model.terms))
     by_weight = np.lexsort((at, -w, doc))
     some, where = np.unique(doc[by_weight], return_index=True)
     lead[some] = at[by_weight][where]
-    new = np.empty(n, np.int64)
     order = np.lexsort((np.arange(n), lead))
+    new = np.empty(n, np.int64)
     new[order] = np.arange(n)
-    old = order
-    model.ids, model.label, model.weight = ids[order], label[order], weight[order]
+    model.ids, model.label, model.weight = [ids[i] for i in order], label[order], weight[order]
     doc = new[doc]
     order = np.lexsort((doc, at))
     doc, at, w = doc[order], at[order], w[order]
+    model.post_id, model.post_weight = doc.astype(np.int32), w
     blocks = -(-n // BLOCK)
-    model.post_id, model.post_weight = doc, w
     cell = at * blocks + doc // BLOCK
-    model.pointer = np.searchsorted(cell, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1)[None, :])
-    model.block_max = np.zeros((len(terms), blocks))
-    np.maximum.at(model.block_max.reshape(-1), cell, w)
+    heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+    model.entry_at = np.append(heads, len(cell))
+    model.entry_block = (cell[heads] % blocks).astype(np.int32)
+    model.entry_max = np.maximum.reduceat(w, heads) if len(heads) else w
+    model.term_at = np.searchsorted(cell[heads] // blocks, np.arange(len(model.terms) + 1))
     votes = np.full(n, -1.0)
     by_doc = np.lexsort((at, doc))
     starts = np.searchsorted(doc[by_doc], np.arange(n + 1))
     for d in range(n):
         own = by_doc[starts[d] : starts[d + 1]]
         if len(own):
-            votes[d] = model.vote(*model.search(at[own], w[own], NEIGHBOURS, without=d), mass[old[d]], n_words[old[d]])
+            votes[d] = model.vote(*model.search(at[own], w[own], NEIGHBOURS, without=d))
     heard = votes >= 0
     if heard.any():
         model.steps_x, model.steps_y = isotonic(votes[heard], model.label[heard], model.weight[heard])
@@ -194,51 +229,34 @@ def index(ids: np.ndarray, label: np.ndarray, weight: np.ndarray, terms: np.ndar
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS, most_terms: int = MOST_TERMS) -> Examples:
-    """The model from at most most_per_class labelled documents of each class outside fold 2."""
-    labelled = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 2)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+def fit(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> Examples:
+    """The model from at most about most_per_class labelled documents of each class outside fold 2."""
+    labelled = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     there = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    part = {y: sample_fraction(n, most_per_class) for y, n in there.items()}
     wanted = None
-    for y, fraction in part.items():
-        own = sampled(labelled.where(F.col("toxic") == y), fraction, "doc_id")
+    for y, total in there.items():
+        own = sampled(labelled.where(F.col("toxic") == y), sample_fraction(total, most_per_class), "doc_id")
         wanted = own if wanted is None else wanted.unionByName(own)
     none = np.zeros(0)
     if wanted is None:
-        return index(none.astype(np.int64), none, none, none.astype(np.uint64), none.astype(np.int64), none.astype(np.uint64), none.astype(np.int64), none)
+        return index([], none, none, none.astype(np.int64), none.astype(np.uint64), none.astype(np.int64), none.astype(bool))
     # bounded by 2 x most_per_class pairs of numbers
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic"), "examples")
-
-    def tally(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, term, *_ = term_counts(batch.column("text"))
-        bad = batch.column("toxic").to_numpy(zero_copy_only=False)[doc]
-        some, at = np.unique(term, return_inverse=True)
-        sums = [np.bincount(at, v, len(some)).astype(np.int64) for v in (bad, 1 - bad)]
-        return pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(sums[0]), pa.array(sums[1])], ["term", "bad", "fine"])
-
-    n = {y: c for y, c in ((r["toxic"], r["count"]) for r in sample.groupBy("toxic").count().collect())}
-    bad_rate, fine_rate = F.col("bad") / max(n.get(1, 0), 1), (F.col("fine") + 0.5) / (n.get(0, 0) + 1)
-    p, n1, n0 = (F.col("bad") + F.col("fine")) / max(sum(n.values()), 1), max(n.get(1, 0), 1), max(n.get(0, 0), 1)
-    apart = (F.col("bad") / n1 - F.col("fine") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    picked = (
-        arrow_map(sample, tally, "term bigint, bad bigint, fine bigint").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("fine").alias("fine"))
-        .where((F.col("bad") >= min(SUPPORT, max(n.get(1, 0) // 4, 1))) & (bad_rate >= LIFT * fine_rate) & (apart >= ERRORS))
-        .orderBy((bad_rate - fine_rate).desc(), "term").limit(most_terms).select("term").toPandas()["term"]
-    )
-    terms = np.sort(picked.to_numpy(np.int64).view(np.uint64))
+    sample = docs.select("doc_id", "text").where(F.octet_length("text") <= MOST_BYTES).join(F.broadcast(wanted), "doc_id").select("doc_id", "text", "toxic", F.xxhash64("text").alias("k1"))
 
     def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        doc, term, tf, n_words = term_counts(batch.column("text"))
-        ok = np.isin(term, terms)
-        lists = lambda v: pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[ok], np.arange(batch.num_rows + 1)), pa.int32()), pa.array(v[ok]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int32()), lists(term.view(np.int64)), lists(tf.astype(np.int64)), pa.array(n_words)], ["doc_id", "toxic", "term", "tf", "n_words"])
+        doc, term, tf, whole = term_counts(batch.column("text"))
+        ends = pa.array(np.searchsorted(doc, np.arange(batch.num_rows + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (term.view(np.int64), np.minimum(tf, 1 << 30).astype(np.int32), whole)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k1"), batch.column("toxic").cast(pa.int32()), *lists], ["doc_id", "k1", "toxic", "term", "tf", "whole"])
 
-    rows = arrow_map(sample, vectors, "doc_id bigint, toxic int, term array<bigint>, tf array<bigint>, n_words bigint").toPandas().sort_values("doc_id", ignore_index=True)
-    label = rows["toxic"].to_numpy(float)
-    weight = np.array([there[int(y)] / n[int(y)] for y in label])
-    size = rows["term"].map(len).to_numpy(np.int64)
-    joined = lambda c: np.concatenate([*(np.asarray(v, np.int64) for v in rows[c]), np.zeros(0, np.int64)])
-    return index(rows["doc_id"].to_numpy(np.int64), label, weight, terms, np.repeat(np.arange(len(rows)), size), joined("term").view(np.uint64), joined("tf"), rows["n_words"].to_numpy(np.int64))
+    rows = arrow_map(sample, vectors, f"doc_id {kind(docs, 'doc_id')}, k1 bigint, toxic int, term array<bigint>, tf array<int>, whole array<boolean>")
+    rows = rows.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("k1", "ascending"), ("toxic", "ascending")])
+    label = rows.column("toxic").to_numpy().astype(float)
+    weight = np.array([there[int(y)] / max((label == y).sum(), 1) for y in label])
+    lists = {c: rows.column(c).combine_chunks() for c in ("term", "tf", "whole")}
+    size = np.asarray(lists["term"].value_lengths()).astype(np.int64) if len(label) else np.zeros(0, np.int64)
+    term, tf, whole = (lists[c].flatten().to_numpy(zero_copy_only=False) for c in ("term", "tf", "whole"))
+    return index(rows.column("doc_id").to_pylist(), label, weight, np.repeat(np.arange(len(label)), size), term.view(np.uint64), tf.astype(np.int64), whole.astype(bool))
 
 
 def score(docs: DataFrame, model: Examples, threshold: float = 0.3) -> DataFrame:
@@ -246,10 +264,11 @@ def score(docs: DataFrame, model: Examples, threshold: float = 0.3) -> DataFrame
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         p, evidence = model.score(batch.column("text"))
+        id_type = batch.schema.field("doc_id").type
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))],
+            [batch.column("doc_id"), batch.column("held_out"), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(evidence, pa.list_(id_type))],
             ["doc_id", "held_out", "score", "predicted", "evidence"],
         )
 
     rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return arrow_map(rows, work, "doc_id bigint, held_out boolean, score double, predicted int, evidence array<bigint>")
+    return arrow_map(rows, work, f"doc_id {kind(docs, 'doc_id')}, held_out boolean, score double, predicted int, evidence array<{kind(docs, 'doc_id')}>")

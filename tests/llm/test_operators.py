@@ -191,29 +191,76 @@ def test_toxicity_learns_and_ignores_ids(spark):
     assert got[400].score == got[401].score == got[402].score == model.silent and got[403].score == got[404].score == got[0].score
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
     assert toxicity.score(empty(spark), model).count() == 0
+    assert got[403].evidence[0] in (0, 403, 404) or got[0].held_out
     blank = toxicity.fit(docs, table.limit(0))
     assert {r.score for r in toxicity.score(docs, blank).collect()} == {0.0}
 
 
-def test_block_max_search_is_exact():
-    rnd = np.random.default_rng(1)
-    n, terms = 700, np.arange(50, dtype=np.uint64)
-    doc = np.repeat(np.arange(n), 4)
-    term = rnd.integers(0, 50, len(doc)).astype(np.uint64)
-    doc, term, tf = toxicity._counted(doc, term)
-    label = (rnd.random(n) < 0.3).astype(float)
-    model = toxicity.index(np.arange(n), label, np.ones(n), terms, doc, term, tf, np.full(n, 9))
-    full = np.zeros((50, n))
-    for t in range(50):
-        lo, hi = model.pointer[t, 0], model.pointer[t, -1]
-        full[t, model.post_id[lo:hi]] = model.post_weight[lo:hi]
-    for _ in range(60):
-        q = np.sort(rnd.choice(50, 3, replace=False))
-        w = rnd.random(3)
-        best, similarity = model.search(q, w, 15)
-        scores = np.round(w @ full[q], 9)
-        want = np.argsort(-scores, kind="stable")[:15]
-        assert best.tolist() == want[scores[want] > 0].tolist() and np.allclose(similarity, scores[best])
+def dense_vectors(model, rows, n_docs):
+    """The definition, term by term: (1 + log tf) x idf x relevance, words that nobody has in the length only."""
+    place = {int(t): j for j, t in enumerate(model.terms)}
+    out, rest = np.zeros((n_docs, len(place))), np.zeros(n_docs)
+    for d, t, tf, whole in zip(*rows):
+        w = 1 + np.log(tf)
+        if int(t) in place:
+            out[d, place[int(t)]] = w * model.weigh[place[int(t)]]
+        elif whole:
+            rest[d] += (w * model.unknown) ** 2
+    return out / np.maximum(np.sqrt((out**2).sum(1) + rest), 1e-12)[:, None]
+
+
+def nearest_votes(model, similarity):
+    similarity = np.round(similarity, 9)
+    best = [i for i in np.argsort(-similarity, kind="stable")[: toxicity.NEIGHBOURS] if similarity[i] > 0]
+    w = similarity[best] ** 2 * model.weight[best]
+    return best, (w * model.label[best]).sum() / w.sum() if len(best) else -1.0
+
+
+def test_votes_and_calibration_are_those_of_a_full_scan():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    texts = [" ".join(words(rnd, rnd.randint(3, 40)) + (["vile", "nastily"] if i % 3 == 0 else []) * rnd.randint(0, 2)) for i in range(260)]
+    label = np.array([float(i % 3 == 0) for i in range(200)])
+    weight = np.where(label == 1, 1.0, 4.0)
+    example = toxicity.term_counts(pa.array(texts[:200]))
+    model = toxicity.index(list(range(200)), label, weight, *example)
+    new = np.array(model.ids)
+    by_text = dense_vectors(model, example, 200)[new]
+    # weights: idf over the documents that examples stand for
+    j = int(np.searchsorted(model.terms, example[1][0]))
+    own = np.isin(np.arange(200), example[0][example[1] == example[1][0]])
+    idf = np.log((weight.sum() + 1) / (weight[own].sum() + 1)) + 1
+    assert np.isclose(model.weigh[j], idf * toxicity.relevance(np.array([label[own].sum()]), np.array([(1 - label[own]).sum()]), label.sum(), 200 - label.sum())[0])
+    # calibration: the isotonic fit of leave-one-out votes, by its max-min formula
+    votes = []
+    for i in range(200):
+        similarity = by_text @ by_text[i]
+        similarity[i] = 0
+        votes.append(nearest_votes(model, similarity)[1])
+    x = np.round(votes, 9)
+    levels = sorted(set(x))
+    sums = np.array([[(model.weight * model.label)[x == v].sum(), model.weight[x == v].sum()] for v in levels])
+    mean = lambda a, b: sums[a : b + 1, 0].sum() / sums[a : b + 1, 1].sum()
+    fitted = [max(min(mean(a, b) for b in range(i, len(levels))) for a in range(i + 1)) for i in range(len(levels))]
+    assert np.allclose([model.calibrated(v) for v in levels], fitted, atol=1e-6)
+    # scores and evidence of other texts, of an example and of a text of unknown words
+    asked = [*texts[200:], texts[5], "zzz qqq", ""]
+    p, evidence = model.score(pa.array(asked))
+    vectors = dense_vectors(model, toxicity.term_counts(pa.array(asked)), len(asked))
+    for i in range(len(asked)):
+        best, vote = nearest_votes(model, by_text @ vectors[i])
+        assert np.isclose(p[i], model.calibrated(vote), atol=1e-6) and evidence[i] == [model.ids[k] for k in best[:3]]
+    assert 5 in evidence[60] and evidence[61] == evidence[62] == []
+
+
+def test_toxicity_odd_rows(spark):
+    texts = [f"{w} {x}" for w in ("vile trash", "fine day") for x in VOCAB] * 2
+    docs = frame(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    twice = [(f"d{i}", 1, y) for i in range(len(texts)) for y in ({0, 1} if i % 10 == 0 and i % 112 < 56 else {int(i % 112 < 56)})] + [(None, 1, 1), ("d1", 1, None), ("d1", 1, 7)]
+    table = spark.createDataFrame(twice, "doc_id string, quality int, toxic int")
+    runs = [{(r.doc_id, r.score) for r in toxicity.score(docs.repartition(n), toxicity.fit(docs.repartition(n), table.repartition(n))).collect()} for n in (1, 3)]
+    assert runs[0] == runs[1] and all((s >= 0.3) == (int(d[1:]) % 112 < 56) for d, s in runs[0])
 
 
 def test_language_id(spark):
@@ -233,6 +280,42 @@ def test_language_id(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"} and langid.identify(empty(spark), langid.fit(docs)).count() == 0
 
 
+def test_centroids_and_cosines(spark):
+    """Vectors by the rule, cell by cell; centres are means of the texts nearest to them; the nearest centre names the language."""
+    from kithline.llm.textscan import mix
+
+    def vector(text):
+        raw, n = b" " + text.encode() + b" ", Counter()
+        fold = lambda b: b | 32 if chr(b).isalpha() and b < 128 else b if b >= 128 else 32
+        for i in range(1, len(raw) - 1):
+            if raw[i] >= 128 or chr(raw[i]).isalpha():
+                code = fold(raw[i - 1]) << 16 | fold(raw[i]) << 8 | fold(raw[i + 1])
+                n[int(mix(np.array([code], np.uint64))[0]) >> 52] += 1
+        return n
+
+    rnd = random.Random(11)
+    texts = [" ".join(words(rnd, 12)) + (" été ñandú" if i % 2 else " The Cat") for i in range(60)]
+    docs = frame(spark, texts).withColumn("lang", F.expr("if(doc_id % 2 = 1, 'x', 'y')"))
+    model = langid.fit(docs)
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    n = [vector(t) for t in texts]
+    df = Counter(c for i in learnt for c in n[i])
+    idf = np.array([np.log((len(learnt) + 1) / (df[c] + 1)) + 1 for c in range(langid.DIMENSIONS)])
+    v = np.array([[np.log1p(x[c]) for c in range(langid.DIMENSIONS)] for x in n]) * idf
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert model.languages == ["x", "y"] and np.allclose(model.idf, idf)
+    for j, name in enumerate("xy"):
+        own, centre = v[[i for i in learnt if i % 2 != j]], model.centre[model.language == j]
+        nearest = (own @ centre.T).argmax(1)
+        for k in range(len(centre)):
+            mean = own[nearest == k].mean(0)
+            assert np.allclose(centre[k], mean / np.linalg.norm(mean), atol=1e-5)
+    cosine = v @ model.centre.T
+    for r in langid.identify(docs, model).collect():
+        assert np.isclose(r.score, cosine[r.doc_id].max(), atol=1e-5) and r.lang_pred == model.languages[model.language[cosine[r.doc_id].argmax()]]
+        assert r.rejected == bool(cosine[r.doc_id].max() < model.floor["xy".index(r.lang_pred)])
+
+
 # 6
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
