@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kithline.llm.common import arrow_map, written
+from kithline.llm.common import arrow_map, dropped, kind, release, written
 from kithline.llm.components import components
 
 SHINGLE = 5
@@ -54,8 +54,8 @@ CELL, SKETCH_BITS, SLICE_BITS = 96, 23, 17
 REGION_SETS = 2_000
 #: Postings of a bucket, sets of a block, candidate classes sent as a sorted array.
 BUCKET_POSTINGS, BLOCK_SETS, MOST_SENT = 400_000, 2_000, 1_000_000
-#: Smallest hashes that seed the components.
-HASHES = 4
+#: Smallest hashes that seed the components; salts of blocks.
+HASHES, SALTS = 4, 64
 _CHUNK = 2 << 20
 _SIZE_STEP = 1.07
 
@@ -130,7 +130,7 @@ def classes(docs: DataFrame) -> DataFrame:
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * HASHES, pa.int32()), pa.array(least.ravel()))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ident, mask=n == 0), pa.array(n), flat], ["doc_id", "set", "n_shingles", "hashes"])
 
-    return arrow_map(docs.select("doc_id", "text"), work, "doc_id bigint, set bigint, n_shingles bigint, hashes array<bigint>")
+    return arrow_map(docs.select("doc_id", "text"), work, f"doc_id {kind(docs, 'doc_id')}, set bigint, n_shingles bigint, hashes array<bigint>")
 
 
 def seeds(own: DataFrame) -> DataFrame:
@@ -156,6 +156,8 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
                 seen[at.astype(np.int64)] += n.astype(np.uint32)
         if seen.any():
             blobs = [zlib.compress(seen[i : i + per_slice].tobytes(), 1) for i in range(0, cells, per_slice)]
+            del seen
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(range(len(blobs)), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,6 +169,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
             usual = float(np.median(n))
             hot = np.packbits(n > 1.5 * usual + 8 * np.sqrt(usual) + CELL // 2).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([hot], pa.binary()), pa.array([int(n.sum())], pa.int64())], ["part", "hot", "n"])
+        release()
 
     slices = docs.select("text").mapInArrow(tally, "part int, counts binary").repartition(16, "part").mapInArrow(add, "part int, hot binary, n bigint")
     hot = np.zeros(cells // 8, np.uint8)
@@ -193,10 +196,10 @@ def _dealt(bucket: np.ndarray, arrays: list[np.ndarray]) -> list[tuple[int, list
 def named(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> tuple[DataFrame, tuple[np.ndarray, np.ndarray] | None]:
     """text and component, if labels are too many to travel as sorted arrays; else text and those arrays."""
     if labels.count() <= most_sent:
-        rows = labels.collect()
-        node = np.array([r["node"] for r in rows], np.int64).view(np.uint64)
+        rows = labels.select("node", "component").toPandas()
+        node = rows["node"].to_numpy(np.int64).view(np.uint64)
         order = np.argsort(node)
-        return docs.select("text").where("text is not null"), (node[order], np.array([r["component"] for r in rows], np.int64).view(np.uint64)[order])
+        return docs.select("text").where("text is not null"), (node[order], rows["component"].to_numpy(np.int64).view(np.uint64)[order])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         s, doc, n = shingle_sets(batch.column("text"))
@@ -237,6 +240,7 @@ def postings(texts: DataFrame, labels: tuple[np.ndarray, np.ndarray] | None, hot
                 rows = _dealt((s % np.uint64(buckets)).astype(np.int32), [s, ident[doc], comp[doc], code[doc]])
                 if rows:
                     yield _blobs(rows, ["s", "ident", "comp", "code"])
+        release()
 
     return texts.mapInArrow(run, "bucket int, s binary, ident binary, comp binary, code binary")
 
@@ -324,6 +328,7 @@ def meetings(post: DataFrame, buckets: int, pair_buckets: int) -> DataFrame:
                 at = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 none = np.zeros(0, np.uint8)
                 yield _blobs([(-1, [s[at], ident[at], none, none, none])], ["a", "b", "n", "ca", "cb"])
+        release()
 
     return post.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "bucket int, a binary, b binary, n binary, ca binary, cb binary")
 
@@ -343,6 +348,7 @@ def candidates(met: DataFrame, pair_buckets: int) -> DataFrame:
             a, b, n, ca, cb = _merged(*arrays)
             ok = n >= extra(np.minimum(size_range(ca)[0], size_range(cb)[0]))
             yield pa.RecordBatch.from_arrays([pa.array(a[ok].view(np.int64)), pa.array(b[ok].view(np.int64))], ["a", "b"])
+        release()
 
     return met.where("bucket >= 0").repartition(pair_buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, "a bigint, b bigint")
 
@@ -362,7 +368,7 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, most_sent: int = MOST_SENT) -
     """set and its sorted shingles (packed), once for each wanted identity."""
     listed = None
     if wanted.count() <= most_sent:
-        listed = np.sort(np.array([r["set"] for r in wanted.collect()], np.int64).view(np.uint64))
+        listed = np.sort(wanted.select("set").toPandas()["set"].to_numpy(np.int64).view(np.uint64))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         s, doc, n = shingle_sets(batch.column("text"))
@@ -399,8 +405,11 @@ def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         .select("a", "b", F.least("na", "nb").alias("block"))
     )
     placed = written(placed, "placed")
+    # blocks with many pairs are parted by the second set; salted rows meet a copy of the narrow list of such blocks for each salt
     parts = placed.groupBy("block").count().where(F.col("count") > BLOCK_SETS).select("block", F.ceil(F.col("count") / BLOCK_SETS).cast("int").alias("parts"))
-    placed = placed.join(parts, "block", "left").select("a", "b", "block", F.coalesce(F.pmod(F.xxhash64("b"), "parts"), F.lit(0)).cast("int").alias("part"))
+    parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = placed.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    placed = salted.join(parts, ["block", "salt"], "left").select("a", "b", "block", F.coalesce(F.pmod(F.xxhash64("b", F.lit(1)), "parts"), F.lit(0)).cast("int").alias("part"))
     sets = whole_sets(docs, near.select("set"))
     none = lambda t: F.lit(None).cast(t)
     needed = placed.select(F.col("a").alias("set"), "block", "part").union(placed.select("b", "block", "part")).distinct()
