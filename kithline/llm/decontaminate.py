@@ -220,8 +220,8 @@ def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[int, C
     return n, lambda k: (rows if n == 1 else rows.where(part == k)).collect()
 
 
-def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs with n_words, spans (starts and ends of hit words), found (item ids) and longest."""
+def find(docs: DataFrame, benchmark: DataFrame, finish: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, finished: str | StructType = "") -> DataFrame:
+    """The rows of docs with n_words, spans (starts and ends of hit words), found (item ids) and longest; or what finish makes of them, in the same worker, with its schema."""
     out = docs.drop(*FOUND)
     more = StructType.fromDDL(found_type(kind(benchmark, "item_id")))
     out = out.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in more.fields))
@@ -231,16 +231,17 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k in range(n):
         rows = block(k)
 
-        def run(batches, texts=[r["text"] for r in rows], ids=[r["item_id"] for r in rows]):
+        def run(batches, texts=[r["text"] for r in rows], ids=[r["item_id"] for r in rows], last=finish if k + 1 == n else None):
             from kithline.llm import textscan
 
             items = Items(texts, ids)
             for batch in batches:
                 for part in textscan.chunks(batch, "text", SHARD_BYTES):
-                    yield _search_batch(part, items)
+                    got = _search_batch(part, items)
+                    yield last(got) if last else got
             release()
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(run, finished if finish and k + 1 == n else schema)
         if k + 1 < n:
             out = written(out, "found")
             if before is not None:
@@ -266,39 +267,35 @@ def is_contaminated(n_hit: int, n_words: int) -> bool:
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and the longest match: its words, where it begins, and the item."""
 
-    def digest(batches):
-        for batch in batches:
-            n_words = batch.column("n_words").to_pylist()
-            hit = [merged(s) if s else 0 for s in batch.column("spans").to_pylist()]
-            found = [sorted({str(i) for i in f or []}) for f in batch.column("found").to_pylist()]
-            sha = [hashlib.sha256(",".join(f).encode()).hexdigest() for f in found]
-            bad = [is_contaminated(a, b) for a, b in zip(hit, n_words)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), batch.column("longest")],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
-            )
-
-    found = find(docs.select("doc_id", "text"), benchmark).drop("text")
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n_words = batch.column("n_words").to_pylist()
+        hit = [merged(s) if s else 0 for s in batch.column("spans").to_pylist()]
+        found = [sorted({str(i) for i in f or []}) for f in batch.column("found").to_pylist()]
+        sha = [hashlib.sha256(",".join(f).encode()).hexdigest() for f in found]
+        bad = [is_contaminated(a, b) for a, b in zip(hit, n_words)]
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(hit, pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_()), batch.column("longest")],
+            ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest"],
+        )
+
     longest = found_type(kind(benchmark, "item_id")).partition(", longest ")[2]
-    out = found.mapInArrow(digest, f"doc_id {kind(docs, 'doc_id')}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest {longest}")
+    out = find(docs.select("doc_id", "text"), benchmark, digest, f"doc_id {kind(docs, 'doc_id')}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, longest {longest}")
     place = {"longest_words": F.coalesce("longest.words", F.lit(0).cast("bigint")), "longest_first_word": F.col("longest.first_word"), "longest_item_id": F.col("longest.item_id"), "longest_item_word": F.col("longest.item_word")}
     return out.withColumns(place).drop("longest")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated."""
-    names = docs.columns
+    # what docs already calls by the names of results is kept aside, whatever it holds
+    aside = {c: f"kith_own_{c}" for c in docs.columns if c in FOUND}
+    rows = docs.withColumnsRenamed(aside)
+    names = rows.columns
 
-    def keep(batches):
-        for batch in batches:
-            bad = [is_contaminated(merged(s) if s else 0, n) for s, n in zip(batch.column("kith_spans").to_pylist(), batch.column("kith_n_words").to_pylist())]
-            yield batch.filter(pa.array([not x for x in bad], pa.bool_())).select(names)
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        bad = [is_contaminated(merged(s) if s else 0, n) for s, n in zip(batch.column("spans").to_pylist(), batch.column("n_words").to_pylist())]
+        return batch.filter(pa.array([not x for x in bad], pa.bool_())).select(names)
 
-    # what docs already calls by these names is kept aside, whatever it holds
-    aside = {c: f"kith_own_{c}" for c in docs.columns if c in FOUND}
-    found = find(docs.withColumnsRenamed(aside), benchmark)
-    found = found.withColumnsRenamed({f: f"kith_{f}" for f in FOUND}).withColumnsRenamed({v: k for k, v in aside.items()})
-    return found.mapInArrow(keep, docs.schema)
+    return find(rows, benchmark, keep, rows.schema).withColumnsRenamed({v: k for k, v in aside.items()})
 
 
 ORACLE_SQL = r"""
