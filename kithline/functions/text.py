@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kithline.functions.constants import ABBREVIATIONS, BLOCKING_SUFFIXES, FOLDED_ADDRESS_STOP, LEGAL_SUFFIXES, indic_letters
+from kithline.functions.constants import ABBREVIATIONS, BLOCKING_SUFFIXES, FOLDED_ADDRESS_STOP, INDIC_LETTERS, LATIN_LETTERS, LEGAL_SUFFIXES
 
 EMPTY = "cast(array() as array<string>)"
 _PUNCT = r"[!-/:-@\\[-`{-~]"
@@ -46,8 +46,8 @@ def latin_skeleton(tokens: str) -> str:
 
 def consonant_skeleton(folded: str) -> str:
     """Latin consonants of an accent-folded text, Indic letters as Latin ones; Latin h goes, Indic h stays."""
-    indic, latin = indic_letters()
-    return f"regexp_replace(translate(replace(regexp_replace({folded}, '[aeiouh]', ''), 'x', 'ks'), 'c{indic}', 'k{latin}'), '[^a-z]', '')"
+    latin = LATIN_LETTERS.replace("c", "k")
+    return f"regexp_replace(translate(replace(regexp_replace({folded}, '[aeiouh]', ''), 'x', 'ks'), 'c{INDIC_LETTERS}', 'k{latin}'), '[^a-z]', '')"
 
 
 def address_words(folded: str) -> str:

@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kithline.functions import text as T
-from kithline.functions.constants import RECALL_KS
+from kithline.functions.constants import RECALL_KS, SHORTLIST
 
 
 class EvaluationInputError(ValueError):
     """Predictions or countries don't fit the truth."""
 
 
+# Fixed value: what the id of a match looks like.
 ID = "^S[23]-[A-Za-z0-9][A-Za-z0-9._:-]*$"
 
 
@@ -124,7 +125,8 @@ def losses(truth: DataFrame, keys: DataFrame, usable_keys: DataFrame, ranks: Dat
     """A row for each true link: shared families, usable ones, rank, score and the reason it is in the pool or not.
 
     keys: entity_id, country, key of all records. Sharing ignores the country,
-    usable sharing needs it to be the same.
+    usable sharing needs it to be the same. ranks are of whole pools: a link with a
+    usable shared key and no rank makes the query fail.
     """
     q = keys.select(F.col("entity_id").alias("query_id"), F.col("country").alias("q_country"), "key")
     c = keys.select(F.col("entity_id").alias("true_id"), F.col("country").alias("c_country"), "key")
@@ -136,18 +138,59 @@ def losses(truth: DataFrame, keys: DataFrame, usable_keys: DataFrame, ranks: Dat
     )
     out = truth.distinct().join(seen, ["query_id", "true_id"], "left").join(ranks.select("query_id", F.col("candidate_id").alias("true_id"), "rank", "score"), ["query_id", "true_id"], "left")
     out = out.na.fill("", ["shared_raw_families", "shared_usable_families"])
-    return out.withColumn("reason", F.expr(f"case when shared_raw_families = '' then '{NO_KEY}' when shared_usable_families = '' then '{PRUNED}' when rank <= {k} then '{IN_TOP}' else '{BELOW}' end"))
+    return out.withColumn("reason", F.expr(f"case when shared_raw_families = '' then '{NO_KEY}' when shared_usable_families = '' then '{PRUNED}' when rank is null then raise_error('A link with a usable shared key has no rank') when rank <= {k} then '{IN_TOP}' else '{BELOW}' end"))
+
+
+def loss_table(found: DataFrame, truth: DataFrame, views: DataFrame) -> DataFrame:
+    """The twelve columns of the loss report: losses with the records on either side. views: entity_id, country, scripts, address."""
+    siblings = truth.distinct().groupBy("query_id").agg(F.count("*").alias("number_of_true_siblings"))
+    side = lambda id_, p: views.select(F.col("entity_id").alias(id_), *(F.col(c).alias(p + c) for c in ("country", "scripts", "address")))
+    rows = found.join(siblings, "query_id").join(side("query_id", "q_"), "query_id").join(side("true_id", "t_"), "true_id")
+    return rows.select(
+        F.col("query_id").alias("source1_id"), F.col("true_id").alias("true_candidate_id"), F.col("q_country").alias("country"), F.substring("true_id", 1, 2).alias("candidate_source"), "shared_raw_families",
+        "shared_usable_families", "reason", F.col("rank").cast("bigint").alias("rank_if_ranked"), F.col("score").cast("double").alias("retrieval_score"), "number_of_true_siblings",
+        F.expr("if(q_scripts <> t_scripts, 1, 0)").alias("script_mismatch"), F.expr("if(trim(q_address) = '' or trim(t_address) = '', 1, 0)").alias("missing_address"),
+    )
+
+
+def posting_sizes(query_keys: DataFrame, stats: DataFrame, legacy: bool = False) -> DataFrame:
+    """family and the distribution of posting sizes over all keys of all queries; a key that nothing has counts 0."""
+    size = "tf" if legacy else "df"
+    rows = query_keys.select("country", "key").join(stats.select("country", "key", F.col(size).alias("v")), ["country", "key"], "left")
+    return distribution(rows.select(F.substring_index("key", ":", 1).alias("family"), F.coalesce("v", F.lit(0)).cast("bigint").alias("v")), "v", "family")
 
 
 def distribution(values: DataFrame, value: str, *by: str) -> DataFrame:
-    """count, p50, p90, p99, max: the values at places floor((n - 1) q) of the sorted ones."""
+    """count, p50, p90, p99, max: the values at places floor((n - 1) q) of the sorted ones; all 0 over nothing."""
     order = Window.partitionBy(*by).orderBy(value) if by else Window.partitionBy(F.lit(0)).orderBy(value)
     every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     # equal values are counted first, so the window is over distinct values
     grouped = values.groupBy(*by, value).agg(F.count("*").alias("n"))
     placed = grouped.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(every))
     at = lambda q: F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col(value)))
-    return placed.groupBy(*by).agg(F.max("total").alias("count"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(value).alias("max"))
+    out = placed.groupBy(*by).agg(F.max("total").alias("count"), at(0.5).alias("p50"), at(0.9).alias("p90"), at(0.99).alias("p99"), F.max(value).alias("max"))
+    return out if by else out.na.fill(0)
+
+
+def plain_quantiles(values: DataFrame, value: str) -> DataFrame:
+    """count, median and p90: the values at places floor(n / 2) and floor(0.9 n), the last at most; 0 over nothing."""
+    every = Window.partitionBy(F.lit(0))
+    grouped = values.groupBy(value).agg(F.count("*").alias("n"))
+    placed = grouped.withColumn("upto", F.sum("n").over(every.orderBy(value))).withColumn("total", F.sum("n").over(every))
+    at = lambda place: F.min(F.when(F.col("upto") > F.least(F.floor(place), F.col("total") - 1), F.col(value)))
+    return placed.agg(F.coalesce(F.max("total"), F.lit(0)).alias("count"), at(F.col("total") / 2).alias("median"), at(F.col("total") * 0.9).alias("p90")).na.fill(0)
+
+
+def block_report(queries: DataFrame, truth: DataFrame, shared: DataFrame, most: int = SHORTLIST) -> DataFrame:
+    """true_links, found (recall of all that share a key), shortlisted (of the ``most`` with the most shared keys), and the median pool. shared: query_id, candidate_id, shared."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("shared"), "candidate_id")
+    place = shared.withColumn("place", F.row_number().over(order))
+    links = truth.distinct().join(place.select("query_id", F.col("candidate_id").alias("true_id"), "place"), ["query_id", "true_id"], "left")
+    got = links.agg(F.count("*").alias("true_links"), F.count("place").alias("found"), F.expr(f"count_if(place <= {most})").alias("shortlisted"))
+    sizes = shared.groupBy("query_id").agg(F.count("*").alias("n"))
+    pools = queries.select(F.col("entity_id").alias("query_id")).join(sizes, "query_id", "left").na.fill(0, ["n"])
+    out = got.crossJoin(plain_quantiles(pools, "n").select(F.col("count").alias("queries"), F.col("median").alias("median_pool")))  # one row each
+    return out.withColumns({"recall": F.expr(_ratio("found", "true_links", "0.0D")), "shortlist_recall": F.expr(_ratio("shortlisted", "true_links", "0.0D"))})
 
 
 def threshold_sweep(queries: DataFrame, truth: DataFrame, scored: DataFrame, thresholds: list[float], cutoffs: list[int] | None = None) -> DataFrame:

@@ -38,7 +38,7 @@ def scores(query_keys: DataFrame, postings: DataFrame, stats: DataFrame, populat
     most.
     """
     count = "tf" if legacy else "df"
-    keys = usable(stats, legacy).join(F.broadcast(population), "country").select("country", "key", F.expr(idf("population", count)).alias("idf"), _route_bit().alias("bit"))
+    keys = usable(stats, legacy).join(population, "country").select("country", "key", F.expr(idf("population", count)).alias("idf"), _route_bit().alias("bit"))
     times = " * q_mult * mult" if legacy else ""
     hits = (
         query_keys.select(F.col("entity_id").alias("query_id"), "country", "key", F.col("weight").alias("q_weight"), F.col("mult").alias("q_mult")).join(keys, ["country", "key"])

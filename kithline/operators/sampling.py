@@ -8,9 +8,6 @@ from pyspark.sql import functions as F
 from kithline.functions import text as T
 from kithline.functions.constants import DEV_SAMPLE, HOLDOUT_FRACTION, SEED
 
-Quota = dict[tuple, int]
-
-
 def shuffled(column: str, seed: int = SEED) -> Column:
     """A fixed order that has nothing to do with the ids'."""
     return F.md5(F.concat(F.lit(f"{seed}|"), F.col(column)))
@@ -29,21 +26,24 @@ def split(entities: DataFrame, fraction: float = HOLDOUT_FRACTION, seed: int = S
 
 
 def dev_sample(rows: DataFrame, size: int = DEV_SAMPLE, seed: int = SEED) -> DataFrame:
-    """Adds dev_sample: about ``size`` of the valid rows, in proportion to strata, at least one each."""
-    strata = rows.where("split = 'valid'").groupBy("country", "bucket").count().orderBy("country", "bucket").collect()  # strata are few
-    total = sum(r["count"] for r in strata)
-    taken, quota = 0, []
-    for r in strata:
-        n = round(r["count"] * size / total)
-        n = 1 if r["count"] and n == 0 and taken < size else n
-        taken += min(n, r["count"])
-        quota.append((r["country"], r["bucket"], n))
-    quotas = rows.sparkSession.createDataFrame(quota, "country string, bucket string, quota int")
+    """Adds dev_sample: about ``size`` of the valid rows, in proportion to strata.
+
+    A stratum whose share rounds to none gets one row, as long as the strata before
+    it leave room. All strata before it had their share or one row while there was
+    room, so the room is a running sum over strata in order.
+    """
+    everything, before = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("country", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    quotas = (
+        rows.where("split = 'valid'").groupBy("country", "bucket").agg(F.count("*").alias("n"))  # strata are few
+        .withColumn("share", F.bround(F.col("n") * F.lit(size) / F.sum("n").over(everything)).cast("bigint"))
+        .withColumn("used", F.coalesce(F.sum(F.greatest(F.least("n", "share"), F.lit(1))).over(before), F.lit(0)))
+        .select("country", "bucket", F.when((F.col("share") == 0) & (F.col("used") < size), 1).otherwise(F.col("share")).alias("quota"))
+    )
     at = place(["country", "bucket", "split"], "source1_entity_id", seed + 1)
-    out = rows.withColumn("kith_at", at).join(F.broadcast(quotas), ["country", "bucket"], "left").withColumn("dev_sample", F.expr("split = 'valid' and kith_at <= coalesce(quota, 0)"))
-    if taken > size:  # the first ids stay
-        first = out.where("dev_sample").select("source1_entity_id").orderBy("source1_entity_id").limit(size).withColumn("kith_first", F.lit(True))
-        out = out.join(first, "source1_entity_id", "left").withColumn("dev_sample", F.coalesce("kith_first", F.lit(False))).drop("kith_first")
+    out = rows.withColumn("kith_at", at).join(quotas, ["country", "bucket"], "left").withColumn("dev_sample", F.expr("split = 'valid' and kith_at <= coalesce(quota, 0)"))
+    # shares that were rounded up may come to more than size: the first ids stay
+    first = out.where("dev_sample").select("source1_entity_id").orderBy("source1_entity_id").limit(size).withColumn("kith_first", F.lit(True))
+    out = out.join(first, "source1_entity_id", "left").withColumn("dev_sample", F.col("dev_sample") & F.coalesce("kith_first", F.lit(False))).drop("kith_first")
     return out.drop("kith_at", "quota")
 
 
@@ -51,41 +51,48 @@ def summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("country", "bucket").agg(F.count("*").alias("entities"), F.expr("count_if(split = 'valid')").alias("valid"), F.expr("count_if(split = 'train')").alias("train"))
 
 
-def pilot_quotas(groups: dict[tuple, int], size: int) -> Quota:
-    """In proportion, at least one each; then one by one where the share is furthest off, until the size is met."""
-    total = sum(groups.values())
-    if not 0 < size <= total:
-        raise ValueError(f"Pilot size must be between 1 and {total}")
-    quota = {k: min(n, max(1, int(size * n / total))) for k, n in groups.items()}
-    off = {k: size * n / total for k, n in groups.items()}
-    while sum(quota.values()) > size:
-        quota[max(quota, key=lambda k: (quota[k] - off[k], k))] -= 1
-    while sum(quota.values()) < size:
-        quota[max((k for k in quota if quota[k] < groups[k]), key=lambda k: (off[k] - quota[k], k))] += 1
-    return quota
-
-
-def member_quotas(groups: dict[tuple, int], size: int) -> Quota:
-    """Largest remainders, without a least share."""
-    total = sum(groups.values())
+def strata(rows: DataFrame, by: list[str]) -> DataFrame:
+    """by, available: strata are country, bucket and the like, so they are few."""
+    return rows.groupBy(*by).agg(F.count("*").alias("available"))
+
+
+def allocated(groups: DataFrame, by: list[str], size: int, least: int = 0) -> DataFrame:
+    """groups and quota: size rows dealt to strata (by, available) in proportion.
+
+    Whole shares come first, ``least`` rows at least. What is then missing, or too
+    much, is made up by single rows: each stratum offers its next rows with the gap
+    that its share would still have, and the offers with the largest gaps win. Equal
+    gaps go to the stratum that is last in order.
+    """
+    total = groups.agg(F.coalesce(F.sum("available"), F.lit(0)).alias("n")).first()["n"]
     if not 0 < size <= total:
-        raise ValueError("Sample size exceeds eligible partition")
-    quota = {k: int(size * n / total) for k, n in groups.items()}
-    while sum(quota.values()) < size:
-        quota[max(groups, key=lambda k: (size * groups[k] / total - quota[k], k))] += 1
-    return quota
+        raise ValueError(f"{size} of {total} rows can't be chosen")
+    every = Window.partitionBy(F.lit(0))
+    start = (
+        groups.withColumn("share", F.col("available") * F.lit(size) / F.lit(total)).withColumn("quota", F.least("available", F.greatest(F.lit(least), F.floor("share"))))
+        .withColumn("off", F.lit(size) - F.sum("quota").over(every))
+    )
+    offers = start.where("off <> 0").withColumn("step", F.explode(F.expr("sequence(0L, abs(off) - 1)"))).where("off < 0 or quota + step < available")
+    gap = F.expr("if(off > 0, share - (quota + step), (quota - step) - share)")
+    best = F.row_number().over(every.orderBy(gap.desc(), *(F.desc(c) for c in by)))
+    steps = offers.withColumn("place", best).where("place <= abs(off)").groupBy(*by).agg(F.sum(F.signum("off")).cast("bigint").alias("more"))
+    return start.join(steps, by, "left").select(*by, "available", (F.col("quota") + F.coalesce("more", F.lit(0))).alias("quota"))
 
 
-def take_quotas(rows: DataFrame, by: list[str], quota: Quota, column: str, seed: int = SEED) -> DataFrame:
-    """That many rows of each stratum, by md5 order."""
-    kinds = ", ".join(f"{c} string" for c in by)
-    quotas = rows.sparkSession.createDataFrame([(*k, n) for k, n in quota.items()], f"{kinds}, quota int")
-    return rows.withColumn("kith_at", place(by, column, seed)).join(F.broadcast(quotas), by).where("kith_at <= quota").drop("kith_at", "quota")
+def take_quotas(rows: DataFrame, by: list[str], quotas: DataFrame, column: str, seed: int = SEED) -> DataFrame:
+    """That many rows of each stratum (by, quota), by md5 order."""
+    return rows.withColumn("kith_at", place(by, column, seed)).join(quotas.select(*by, "quota"), by).where("kith_at <= quota").drop("kith_at", "quota")
 
 
-def strata(rows: DataFrame, by: list[str]) -> dict[tuple, int]:
-    """Rows by stratum, on the driver: strata are country, bucket and the like, not data."""
-    return {tuple(r[c] for c in by): r["count"] for r in rows.groupBy(*by).count().collect()}
+def membership(split_rows: DataFrame, partition: str, size: int, without: DataFrame | None = None, seed: int = SEED) -> DataFrame:
+    """size rows of a side of the split (of its dev sample, but for the train side), by largest remainders over country and bucket; ids in ``without`` (a pilot's) are left out."""
+    rows = split_rows.where(F.col("split") == partition)
+    if partition != "train":
+        rows = rows.where(F.col("dev_sample").cast("string").isin("1", "true"))
+    if without is not None:
+        rows = rows.join(without.select("source1_entity_id").distinct(), "source1_entity_id", "left_anti")
+    by = ["country", "bucket"]
+    return take_quotas(rows, by, allocated(strata(rows, by), by, size), "source1_entity_id", seed)
 
 
 def select_pilot(views: DataFrame, truth: DataFrame, size: int, seed: int = SEED) -> DataFrame:
@@ -98,7 +105,7 @@ def select_pilot(views: DataFrame, truth: DataFrame, size: int, seed: int = SEED
         .withColumn("bucket", F.expr(T.match_bucket("match_count"))).withColumn("common", F.expr("if(core <> '' and same >= 3, 'common', 'other')"))
     )
     by = ["country", "bucket", "scripts", "common"]
-    return take_quotas(rows, by, pilot_quotas(strata(rows, by), size), "entity_id", seed)
+    return take_quotas(rows, by, allocated(strata(rows, by), by, size, 1), "entity_id", seed)
 
 
 def per_group(rows: DataFrame, by: list[str], n: int, column: str, seed: int = SEED) -> DataFrame:

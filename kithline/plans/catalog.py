@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline.functions import text as T
-from kithline.functions.constants import CUTOFFS, FEATURES, BASE_FEATURES, RULE_THRESHOLD, SUPPORT_RANK, SWEEP_THRESHOLDS
+from kithline.functions.constants import CUTOFFS, FEATURES, INDIC_LETTERS, BASE_FEATURES, RULE_THRESHOLD, SUPPORT_BLOCK, SUPPORT_RANK, SWEEP_THRESHOLDS
 from kithline.functions.unicode import forms
 from kithline.operators import audit, evaluate, features, index, keys, model, records, retrieve, rules, sampling, validate
+from kithline.operators.store import kept, spread
 from kithline.plans.oracle import ORACLE_SQL
 from kithline.sources import adapters
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
-#: Candidates of a query: what the SQL of the pair queries stops at, and what production takes.
-SQL_K, WHOLE_K, WHOLE_POOL = 20, max(CUTOFFS), 1000
+#: Candidates of a query that pair queries work on, and that a route pool holds.
+POOL_K, ROUTE_POOL = max(CUTOFFS), 1000
 
 
 def r6(*names: str):
@@ -25,18 +27,25 @@ def r6(*names: str):
 
 
 class Linkage:
-    """The frames that queries over part records share. All are lazy."""
+    """The frames that queries over part records share. Views and keys are computed once, when they are first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.records = adapters.parts(spark, sf_dir)
-        self.views = records.with_views(self.records)
+        self._weighted: dict[int, DataFrame] = {}
         self.truth = adapters.part_truth(spark, sf_dir)
         self.queries = self.records.where("entity_id like 'S1-%'").select("entity_id", "country")
         self.population = index.populations(self.records)
 
+    @cached_property
+    def views(self) -> DataFrame:
+        return kept(records.with_views(spread(self.records, "entity_id")), "views")
+
     def weighted(self, generation: int) -> DataFrame:
-        return keys.exploded(keys.weighted_keys(self.views) if generation == 2 else keys.enhanced_keys(self.views))
+        if generation not in self._weighted:
+            views = spread(self.views, "entity_id")
+            self._weighted[generation] = kept(keys.exploded(keys.weighted_keys(views) if generation == 2 else keys.enhanced_keys(views)), "keys")
+        return self._weighted[generation]
 
     def parts(self, generation: int) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Query keys, postings of the keys they have, and their statistics."""
@@ -49,25 +58,26 @@ class Linkage:
         return retrieve.ranked(retrieve.scores(*self.parts(generation), self.population, legacy, with_routes), k)
 
     def rule_parts(self) -> tuple[DataFrame, DataFrame]:
-        keyed = keys.rule_keys(self.views)
+        keyed = kept(keys.rule_keys(spread(self.views, "entity_id")).select("entity_id", "country", "keys"), "rule-keys")
         return rules.exploded(keyed.where("entity_id like 'S1-%'")), rules.rule_postings(keyed)
 
+    @cached_property
     def rule_scores(self) -> DataFrame:
-        return rules.scored(rules.candidates(*self.rule_parts()), records.signature(self.views))
+        return kept(rules.scored(rules.candidates(*self.rule_parts()), records.signature(self.views)), "scores")
 
     def chosen(self) -> DataFrame:
-        return rules.accepted(self.rule_scores(), RULE_THRESHOLD)
+        return rules.accepted(self.rule_scores, RULE_THRESHOLD)
 
     def per_query(self) -> DataFrame:
         return evaluate.per_query(self.queries, self.truth, self.chosen())
 
-    def pairs(self, k: int = SQL_K) -> DataFrame:
+    def pairs(self, k: int = POOL_K) -> DataFrame:
         return retrieve.relative(self.ranks(3)).where(F.col("rank") <= k)
 
-    def featured(self, k: int = SQL_K) -> DataFrame:
+    def featured(self, k: int = POOL_K) -> DataFrame:
         return features.all_features(self.pairs(k), records.pair_view(self.views))
 
-    def probable(self, k: int = SQL_K) -> DataFrame:
+    def probable(self, k: int = POOL_K) -> DataFrame:
         return model.fixed_score(self.featured(k))
 
     def truth_rows(self) -> DataFrame:
@@ -87,13 +97,13 @@ class Linkage:
         got = evaluate.at_k(self.queries, self.truth, self.ranks(with_routes=False))
         return got.select("grp", "k", "entities", "true_links", "hits", "covered", *r6("pair_recall", "oracle_macro_f05"))
 
-    def sweep(self, thresholds: list[float], cutoffs: list[int] | None = None, k: int = SQL_K) -> DataFrame:
+    def sweep(self, thresholds: list[float], cutoffs: list[int] | None = None, k: int = POOL_K) -> DataFrame:
         got = evaluate.threshold_sweep(self.queries, self.truth, self.probable(k), thresholds, cutoffs)
         return got.select("cutoff", "threshold", "entities", *r6("macro_f05"), "true_pairs", "predicted_pairs", "true_positives", "singletons", "singleton_correct", *r6("pair_precision", "pair_recall", "singleton_accuracy"))
 
 
 def _normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.documents(spark, sf_dir).withColumn("f", forms(F.col("business_name"), F.col("business_address")))
+    docs = spread(adapters.whole_documents(spark, sf_dir)).withColumn("f", forms(F.col("business_name"), F.lit("")))
     return docs.select("entity_id", F.col("f.name_norm").alias("normalized"), F.col("f.name_folded").alias("folded"), F.col("f.name_core").alias("core"))
 
 
@@ -102,8 +112,15 @@ def _suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.withColumn("f", forms(F.col("n"), F.lit(""))).select("c_custkey", F.expr(T.without_legal_suffixes("f.name_norm")).alias("core"))
 
 
+def _indic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skeletons of names with a run of Indic letters, a different one for each customer."""
+    n, letters = len(INDIC_LETTERS), INDIC_LETTERS
+    names = adapters.table(spark, sf_dir, "customer").selectExpr("c_custkey", f"concat(substring('{letters}', cast(1 + c_custkey % {n} as int), 4), ' Chx ', substring('{letters}', cast(1 + (7 * c_custkey) % {n} as int), 3), '\u0c81\u0c31\u0cb1') as n")
+    return names.select("c_custkey", F.expr(T.consonant_skeleton("lower(n)")).alias("skeleton"))
+
+
 def _skeleton(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.documents(spark, sf_dir).withColumn("f", forms(F.col("business_name"), F.lit("")))
+    docs = spread(adapters.whole_documents(spark, sf_dir)).withColumn("f", forms(F.col("business_name"), F.lit("")))
     return docs.select("entity_id", F.expr(T.consonant_skeleton("f.name_folded")).alias("skeleton"))
 
 
@@ -130,8 +147,9 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _country_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = adapters.documents(spark, sf_dir).withColumn("k", F.substring_index("entity_id", "-", -1).cast("bigint") % 2)
-    return audit.country_compare(docs.where("k = 0 and country <> 'fr'"), docs.where("k = 1"))
+    """Countries of source 1 of the customers against those of source 2."""
+    rows = adapters.customers(spark, sf_dir)
+    return audit.country_compare(rows.where("entity_id like 'S1-%'"), rows.where("entity_id like 'S2-%'"))
 
 
 def _submission_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +172,7 @@ def _losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.losses(link.truth, link.weighted(2).select("entity_id", "country", "key"), index.usable(stats).select("country", "key"), link.ranks(with_routes=False)).groupBy("reason").agg(F.count("*").alias("links"))
 
 
-def _subset(spark: SparkSession, sf_dir: str, k: int = SQL_K) -> DataFrame:
+def _subset(spark: SparkSession, sf_dir: str, k: int = POOL_K) -> DataFrame:
     link = Linkage(spark, sf_dir)
     pool = link.ranks(k=k, with_routes=False).select("query_id", "candidate_id", F.lit(1).alias("there"))
     return link.chosen().join(pool, ["query_id", "candidate_id"], "left").agg(F.count("*").alias("matches"), F.expr("count_if(there is null)").alias("outside"))
@@ -162,7 +180,7 @@ def _subset(spark: SparkSession, sf_dir: str, k: int = SQL_K) -> DataFrame:
 
 def _block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = Linkage(spark, sf_dir)
-    support = rules.supported(*link.rule_parts(), SUPPORT_RANK)
+    support = kept(rules.supported(*link.rule_parts(), SUPPORT_BLOCK), "support")
     ruled = rules.block_rules(support, rules.near_names(support, link.views))
     return evaluate.rule_report(link.queries, link.truth, ruled, ["overlap", "two-supports", "top3", "top1", "name-top3"])
 
@@ -170,7 +188,7 @@ def _block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rule_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = Linkage(spark, sf_dir)
     names = [f"{t:.2f}" for t in SWEEP_THRESHOLDS] + ["top1>=0.60", "top3>=0.45"]
-    return evaluate.rule_report(link.queries, link.truth, rules.sweep_rules(link.rule_scores()), names).select("rule", *r6("macro_f05"))
+    return evaluate.rule_report(link.queries, link.truth, rules.sweep_rules(link.rule_scores), names).select("rule", *r6("macro_f05"))
 
 
 def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +200,7 @@ def _pilot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The boosted model over whole pools: trained on the train side of the stratified split, scored on all queries."""
     link = Linkage(spark, sf_dir)
-    rows = link.featured(WHOLE_K).join(link.truth.select("query_id", F.col("true_id").alias("candidate_id"), F.lit(1).alias("label")), ["query_id", "candidate_id"], "left").na.fill(0, ["label"])
+    rows = link.featured(POOL_K).join(link.truth.select("query_id", F.col("true_id").alias("candidate_id"), F.lit(1).alias("label")), ["query_id", "candidate_id"], "left").na.fill(0, ["label"])
     side = link.split().select(F.col("source1_entity_id").alias("query_id"), "split")
     rows = rows.join(side, "query_id").select("query_id", "candidate_id", "rank", *FEATURES, "label", "split").cache()
     fitted = model.fit(rows.where("split = 'train'"))
@@ -195,16 +213,33 @@ def _truth_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that source 2 alone doesn't have."""
     link = Linkage(spark, sf_dir)
-    there = link.records.where(F.substring_index("entity_id", "-", -1).cast("bigint") % 2 == 0).select(F.col("entity_id").alias("true_id"))
+    there = link.records.where("entity_id like 'S2-%'").select(F.col("entity_id").alias("true_id"))
     return link.truth.distinct().join(there, "true_id", "left_anti").select("query_id", "true_id")
 
 
 def _quota(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = sampling.strata(Linkage(spark, sf_dir).split(), ["country", "bucket"])
-    size = max(1, sum(groups.values()) // 5)
-    rows = [(*k, groups[k], n, m) for (k, n), (_, m) in zip(sorted(sampling.pilot_quotas(groups, max(size, len(groups))).items()), sorted(sampling.member_quotas(groups, size).items()))]
-    return spark.createDataFrame(rows, "country string, bucket string, available bigint, pilot bigint, members bigint")
+    by = ["country", "bucket"]
+    groups = kept(sampling.strata(Linkage(spark, sf_dir).split(), by), "strata")
+    total = groups.agg(F.sum("available").alias("n"), F.count("*").alias("k")).first()
+    size = max(1, total["n"] // 5)
+    pilot = sampling.allocated(groups, by, max(size, total["k"]), 1).withColumnRenamed("quota", "pilot")
+    return pilot.join(sampling.allocated(groups, by, size).select(*by, F.col("quota").alias("members")), by).select(*by, "available", F.col("pilot").cast("bigint"), F.col("members").cast("bigint"))
+
+
+def _loss_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = Linkage(spark, sf_dir)
+    _, _, stats = link.parts(2)
+    found = evaluate.losses(link.truth, link.weighted(2).select("entity_id", "country", "key"), index.usable(stats).select("country", "key"), link.ranks(with_routes=False))
+    rows = evaluate.loss_table(found, link.truth, link.views)
+    return rows.select(*(F.round("retrieval_score", 6).alias(c) if c == "retrieval_score" else F.col(c) for c in rows.columns))
+
+
+def _posting_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    link = Linkage(spark, sf_dir)
+    asked, _, stats = link.parts(2)
+    return evaluate.posting_sizes(asked, stats)
 
 
 def _on(name: str, *args, then: Callable[[DataFrame], DataFrame] = lambda d: d):
@@ -235,7 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "retrieve_topk_enhanced": _on("ranks", 3, False, 20, then=_ranked("routes")),
     "block_token_number": _on("rule_parts", then=lambda p: rules.supported(*p, SUPPORT_RANK)),
     "rare_token_route": _on("rule_parts", then=lambda p: rules.rare(*p)),
-    "pair_score_rule": _on("rule_scores", then=lambda p: p.select("query_id", "candidate_id", *r6("score"))),
+    "pair_score_rule": lambda s, d: Linkage(s, d).rule_scores.select("query_id", "candidate_id", *r6("score")),
     "rule_submission": lambda s, d: rules.submission(Linkage(s, d).queries, Linkage(s, d).chosen()),
     "block_rules": _block_rules,
     "rule_sweep": _rule_sweep,
@@ -243,7 +278,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_features_all19": _on("featured", then=lambda f: f.select("query_id", "candidate_id", *r6(*FEATURES))),
     "pair_rank_name": _on("featured", then=lambda f: features.pair_rank(f, False).select("query_id", "candidate_id", *r6("pair_rank"))),
     "pair_rank_name_address": _on("featured", then=lambda f: features.pair_rank(f).select("query_id", "candidate_id", *r6("pair_rank"))),
-    "route_pool": _on("ranks", 3, then=lambda r: retrieve.route_pool(r, 20).select("query_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"))),
+    "route_pool": _on("ranks", 3, then=lambda r: retrieve.route_pool(r, ROUTE_POOL).select("query_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"))),
     "recall_at_k": _on("at_k", then=lambda a: a.select("grp", "k", "true_links", "hits", "pair_recall")),
     "oracle_f05_at_k": _on("at_k", then=lambda a: a.where("entities > 0").select("grp", "k", "entities", "covered", "oracle_macro_f05")),
     "loss_reasons": _losses,
@@ -254,7 +289,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "country_f05": _on("report", "country", then=lambda r: r.select("country", "entities", "macro_f05")),
     "threshold_sweep": _on("sweep", [round(0.05 + 0.025 * i, 3) for i in range(37)]),
     "cutoff_sweep": _on("sweep", [0.6], CUTOFFS),
-    "cutoff_sweep_k300": _on("sweep", [0.6], CUTOFFS, WHOLE_K),
     "stratified_split": _on("split", then=lambda s: s.select("source1_entity_id", "country", "match_count", "bucket", "split")),
     "split_summary": _on("split", then=sampling.summary),
     "dev_sample": _on("split", then=lambda s: sampling.dev_sample(s, 50)),
@@ -271,11 +305,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cartesian_sizes": lambda s, d: audit.cartesian(adapters.parts(s, d)),
     "confirmation_errors": lambda s, d: evaluate.errors(Linkage(s, d).per_query(), Linkage(s, d).truth, Linkage(s, d).chosen()).select("query_id", *r6("f05"), "true_n", "predicted_n", "false_positive_ids", "false_negative_ids"),
     "pair_model": _model,
-    "threshold_sweep_k300": _on("sweep", [round(0.05 + 0.025 * i, 3) for i in range(37)], None, WHOLE_K),
-    "pair_features_base_k300": _on("featured", WHOLE_K, then=lambda f: f.select("query_id", "candidate_id", *r6(*BASE_FEATURES))),
-    "pair_features_all19_k300": _on("featured", WHOLE_K, then=lambda f: f.select("query_id", "candidate_id", *r6(*FEATURES))),
-    "pair_rank_name_k300": _on("featured", WHOLE_K, then=lambda f: features.pair_rank(f, False).select("query_id", "candidate_id", *r6("pair_rank"))),
-    "pair_rank_name_address_k300": _on("featured", WHOLE_K, then=lambda f: features.pair_rank(f).select("query_id", "candidate_id", *r6("pair_rank"))),
-    "route_pool_k1000": _on("ranks", 3, then=lambda r: retrieve.route_pool(r, WHOLE_POOL).select("query_id", "candidate_id", F.col("rank").cast("bigint").alias("rank"))),
-    "matches_subset_candidates_k300": lambda s, d: _subset(s, d, WHOLE_K),
+    "indic_skeleton": _indic,
+    "loss_table": _loss_table,
+    "posting_sizes": _posting_sizes,
+    "block_rules_by_support": lambda s, d: _block_rules(s, d).where("rule <> 'name-top3'").select("rule", *r6("macro_f05", "singleton_accuracy")),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from kithline.functions.constants import (
     ABBREVIATIONS, ADDRESS_STOP, BLOCKING_SUFFIXES, CAPS, CUTOFFS, FOLDED_ADDRESS_STOP, LEGAL_SUFFIXES, MAX_POSTING, OTHER_CAP, POOL_GROUPS, RARE_POSTING, RECALL_KS, ROUTE_GROUPS, RULE_THRESHOLD,
-    SEED, SHORT_NUMBER_CAP, SUPPORT_RANK, SWEEP_THRESHOLDS, WEIGHTS,
+    SEED, SHORT_NUMBER_CAP, SUPPORT_BLOCK, SUPPORT_RANK, SWEEP_THRESHOLDS, WEIGHTS, INDIC_LETTERS, LATIN_LETTERS,
 )
 from kithline.operators.model import FIXED, FIXED_BIAS
 
@@ -77,6 +77,7 @@ CTES: dict[str, str] = {
     "er": "SELECT 'S' || (1 + p_partkey % 3) || '-' || p_partkey AS entity_id, p_name AS business_name, CAST(floor(p_retailprice) AS BIGINT) || ' ' || p_brand || ' ' || p_type || ' road ' || p_size AS business_address, CASE WHEN p_size % 2 = 0 THEN 'US' ELSE 'India' END AS country FROM part",
     "truth": "SELECT DISTINCT 'S1-' || a.p_partkey AS query_id, 'S' || (1 + b.p_partkey % 3) || '-' || b.p_partkey AS true_id FROM part a JOIN part b ON a.p_name = b.p_name AND floor(a.p_retailprice) = floor(b.p_retailprice) AND a.p_size % 2 = b.p_size % 2 WHERE a.p_partkey % 3 = 0 AND b.p_partkey % 3 > 0",
     "s1": "SELECT entity_id AS query_id, country FROM er WHERE entity_id LIKE 'S1-%'",
+    "whole": "SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, coalesce(text, '') AS business_name FROM documents WHERE doc_id IS NOT NULL",
     "doc": r"SELECT 'S' || (1 + doc_id % 3) || '-' || doc_id AS entity_id, array_to_string(w[1:6], ' ') AS business_name, array_to_string(w[7:18], ' ') AS business_address, coalesce(lang, '') AS country FROM (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM documents)",
     "tok": f"SELECT entity_id, country, business_name, business_address, {_TOKENS} AS tokens, {_NUMBERS} AS numbers FROM er",
     "k1": f"""SELECT DISTINCT entity_id, country, key FROM (
@@ -115,6 +116,7 @@ CTES: dict[str, str] = {
     "p1": f"SELECT k.*, df FROM k1 k JOIN (SELECT country, key, count(*) AS df FROM k1 WHERE entity_id NOT LIKE 'S1-%' GROUP BY country, key HAVING count(*) <= {MAX_POSTING}) USING (country, key) WHERE entity_id NOT LIKE 'S1-%' AND (key LIKE 't:%' OR (key LIKE 'n:%' AND length(key) >= 5))",
     "h1": "SELECT q.entity_id AS query_id, p.entity_id AS candidate_id, key, df FROM k1 q JOIN p1 p USING (country, key) WHERE q.entity_id LIKE 'S1-%'",
     "sup": f"SELECT query_id, candidate_id, count(*) AS support FROM (SELECT a.query_id, a.candidate_id, count(*) OVER (PARTITION BY a.query_id, a.key, b.key) AS n FROM h1 a JOIN h1 b USING (query_id, candidate_id) WHERE a.key LIKE 't:%' AND length(a.key) >= 7 AND b.key LIKE 'n:%') WHERE n <= {SUPPORT_RANK} GROUP BY query_id, candidate_id",
+    "sup8": f"SELECT query_id, candidate_id, count(*) AS support FROM (SELECT a.query_id, a.candidate_id, count(*) OVER (PARTITION BY a.query_id, a.key, b.key) AS n FROM h1 a JOIN h1 b USING (query_id, candidate_id) WHERE a.key LIKE 't:%' AND length(a.key) >= 7 AND b.key LIKE 'n:%') WHERE n <= {SUPPORT_BLOCK} GROUP BY query_id, candidate_id",
     "rare": f"SELECT DISTINCT query_id, candidate_id FROM h1 WHERE key LIKE 't:%' AND length(key) >= 7 AND df <= {RARE_POSTING}",
     "sig": "SELECT entity_id, list_distinct(tokens) AS t, list_distinct(list_filter(numbers, lambda n: length(n) >= 2)) AS n FROM tok",
     "ps": """SELECT query_id, candidate_id, CASE WHEN len(q.t) + len(c.t) = 0 THEN 0.0 ELSE len(list_intersect(q.t, c.t)) / CAST(len(list_distinct(list_concat(q.t, c.t))) AS DOUBLE) END
@@ -124,13 +126,13 @@ CTES: dict[str, str] = {
     "pq": f"""SELECT query_id, country, true_n, predicted_n, tp, {F05} AS f05 FROM (
         SELECT s1.query_id, country, (SELECT count(*) FROM truth t WHERE t.query_id = s1.query_id) AS true_n, (SELECT count(*) FROM acc a WHERE a.query_id = s1.query_id) AS predicted_n,
         (SELECT count(*) FROM acc a JOIN truth t ON a.query_id = t.query_id AND a.candidate_id = t.true_id WHERE a.query_id = s1.query_id) AS tp FROM s1)""",
-    "fp": f"SELECT query_id, candidate_id, rank, relative, routes, q.name AS qn, c.name AS cn, {BASE} FROM erk JOIN vw q ON q.entity_id = query_id JOIN vw c ON c.entity_id = candidate_id WHERE rank <= 20",
+    "fp": f"SELECT query_id, candidate_id, rank, relative, routes, q.name AS qn, c.name AS cn, {BASE} FROM erk JOIN vw q ON q.entity_id = query_id JOIN vw c ON c.entity_id = candidate_id WHERE rank <= {max(CUTOFFS)}",
     "mp": "SELECT query_id, candidate_id, rank, 1.0 / (1.0 + exp(-(" + " + ".join(f"{w} * {'greatest(name_tokens, name_chars, name_skeleton)' if k == 'name_best' else k}" for k, w in FIXED.items()) + f" + {FIXED_BIAS}))) AS probability FROM fp",
 }
 _NEEDS = {
     "truth": [], "s1": ["er"], "tok": ["er"], "k1": ["tok"], "tok2": ["tok"], "r2": ["tok2"], "k2": ["r2"], "vw": ["er"], "w6": ["vw"], "n4": ["vw"], "r3": ["r2", "vw", "w6", "n4"], "k3": ["r3"], "pop": ["er"],
     **{f"{p}{x}": n for p, k in (("d", "k2"), ("l", "k2"), ("e", "k3")) for x, n in (("st", [k]), ("us", [f"{p}st"]), ("hit", [f"{p}us", "pop", k]), ("sc", [f"{p}hit"]), ("rk", [f"{p}sc"]))},
-    "p1": ["k1"], "h1": ["k1", "p1"], "sup": ["h1"], "rare": ["h1"], "sig": ["tok"], "ps": ["sup", "rare", "sig"], "acc": ["ps"], "pq": ["s1", "truth", "acc"], "fp": ["erk", "vw"], "mp": ["fp"], "er": [], "doc": [],
+    "p1": ["k1"], "h1": ["k1", "p1"], "sup": ["h1"], "rare": ["h1"], "sig": ["tok"], "ps": ["sup", "rare", "sig"], "acc": ["ps"], "pq": ["s1", "truth", "acc"], "fp": ["erk", "vw"], "mp": ["fp"], "er": [], "doc": [], "whole": [], "sup8": ["h1"],
 }
 
 
@@ -209,11 +211,26 @@ _TOP = "SELECT query_id, candidate_id, rank, {s} FROM {t} WHERE rank <= 20"
 _NAME_FEATURES = "name_exact, name_tokens, name_chars, name_skeleton, address_words, address_containment, number_long, number_medium, number_short, number_conflict, missing_address"
 _BEST = "greatest(name_tokens, name_chars, name_skeleton)"
 
+
+
+def _allocation(name: str, size: str, least: int) -> str:
+    """Tables up to one of that name: country, bucket, available, quota."""
+    base = query("", "s1", "truth").removesuffix("\n") if name == "p" else "WITH "
+    head = f"{base}, " if name == "p" else base
+    return f"""{head}{name}0 AS (SELECT country, bucket, count(*) AS available FROM ({_SPLIT}) GROUP BY 1, 2),
+        {name}1 AS (SELECT *, CAST({size} AS BIGINT) AS size FROM (SELECT *, sum(available) OVER () AS total, count(*) OVER () AS strata FROM {name}0)),
+        {name}2 AS (SELECT *, least(available, greatest({least}, floor(available * size / CAST(total AS DOUBLE)))) AS q, available * size / CAST(total AS DOUBLE) AS share FROM {name}1),
+        {name}3 AS (SELECT *, size - sum(q) OVER () AS off FROM {name}2),
+        {name}4 AS (SELECT country, bucket, off, CASE WHEN off > 0 THEN share - (q + step) ELSE (q - step) - share END AS gap FROM (SELECT *, unnest(range(CAST(abs(off) AS BIGINT))) AS step FROM {name}3) WHERE off < 0 OR q + step < available),
+        {name}5 AS (SELECT country, bucket, sum(sign(off)) AS more FROM (SELECT *, row_number() OVER (ORDER BY gap DESC, country DESC, bucket DESC) AS place FROM {name}4) WHERE place <= abs(off) GROUP BY 1, 2),
+        {name} AS (SELECT country, bucket, available, q + coalesce(more, 0) AS quota FROM {name}3 LEFT JOIN {name}5 USING (country, bucket))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "scan_profile": query("SELECT left(entity_id, 2) AS source, count(*) AS rows, 0::BIGINT AS malformed_ids, 0::BIGINT AS duplicate_ids, count(*) FILTER (WHERE trim(business_name) = '') AS missing_names, count(*) FILTER (WHERE trim(business_address) = '') AS missing_addresses, count(DISTINCT country) AS countries FROM er GROUP BY 1", "er"),
-    "normalize_name": query(f"SELECT entity_id, n AS normalized, strip_accents(n) AS folded, {_core('n')} AS core FROM (SELECT entity_id, {_norm('business_name')} AS n FROM doc)", "doc"),
+    "normalize_name": query(f"SELECT entity_id, n AS normalized, strip_accents(n) AS folded, {_core('n')} AS core FROM (SELECT entity_id, {_norm('business_name')} AS n FROM whole)", "whole"),
     "legal_suffix_core": f"SELECT c_custkey, {_core('n')} AS core FROM (SELECT c_custkey, {_norm("c_name || [' Inc.', ' Pvt. Ltd.', ' Limited Company', '', ' S.A. SA'][1 + c_custkey % 5]")} AS n FROM customer)",
-    "consonant_skeleton": query(f"SELECT entity_id, {_skeleton('strip_accents(' + _norm('business_name') + ')')} AS skeleton FROM doc", "doc"),
+    "consonant_skeleton": query(f"SELECT entity_id, {_skeleton('strip_accents(' + _norm('business_name') + ')')} AS skeleton FROM whole", "whole"),
     "address_parts": query("SELECT entity_id, array_to_string(list_sort(words), ' ') AS words, array_to_string(list_sort(nums), ' ') AS numbers FROM vw", "vw"),
     "char_grams": query("SELECT entity_id, array_to_string(list_sort(grams), ' ') AS grams, CAST(len(grams) AS BIGINT) AS n FROM vw", "vw"),
     "keys_g1": query("SELECT entity_id, country, key FROM k1", "k1"),
@@ -235,7 +252,7 @@ ORACLE_SQL: dict[str, str] = {
         {r6(' + '.join(f'CASE WHEN len(list_intersect(routes, [{_Q(g)}])) > 0 THEN 1 ELSE 0 END' for g in ROUTE_GROUPS), 'route_count')}, {r6("CASE WHEN candidate_id LIKE 'S3-%' THEN 1 ELSE 0 END", 'source3')} FROM fp""", "fp"),
     "pair_rank_name": query(f"SELECT query_id, candidate_id, {r6(f'2.5 * {_N} + 0.5 * name_exact', 'pair_rank')} FROM fp", "fp"),
     "pair_rank_name_address": query(f"SELECT query_id, candidate_id, {r6(f'2.5 * {_N} + 0.5 * name_exact + {_A} + 0.65 * number_long + 0.4 * number_medium + 0.15 * number_short + 0.5 * {_N} * {_A} - 0.3 * number_conflict', 'pair_rank')} FROM fp", "fp"),
-    "route_pool": route_pool_sql(20),
+    "route_pool": route_pool_sql(1000),
     "recall_at_k": query(f"SELECT grp, k, true_links, hits, pair_recall FROM ({_at_k()})", "s1", "truth", "drk"),
     "oracle_f05_at_k": query(f"SELECT grp, k, entities, covered, oracle_macro_f05 FROM ({_at_k()}) WHERE entities > 0", "s1", "truth", "drk"),
     "loss_reasons": query("""SELECT reason, count(*) AS links FROM (SELECT CASE WHEN NOT EXISTS (SELECT 1 FROM k2 a JOIN k2 b USING (key) WHERE a.entity_id = t.query_id AND b.entity_id = t.true_id) THEN 'NO_RAW_KEY'
@@ -257,19 +274,41 @@ ORACLE_SQL: dict[str, str] = {
     "stratified_split": query(_SPLIT, "s1", "truth"),
     "split_summary": query(f"SELECT country, bucket, count(*) AS entities, count(*) FILTER (WHERE split = 'valid') AS valid, count(*) FILTER (WHERE split = 'train') AS train FROM ({_SPLIT}) GROUP BY country, bucket", "s1", "truth"),
     "dup_ids": "SELECT 'P-' || p_name AS entity_id, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1",
-    "dangling_refs": query("SELECT query_id, true_id FROM truth WHERE NOT EXISTS (SELECT 1 FROM er WHERE entity_id = true_id AND CAST(split_part(entity_id, '-', 2) AS BIGINT) % 2 = 0)", "truth", "er"),
+    "dangling_refs": query("SELECT query_id, true_id FROM truth WHERE NOT EXISTS (SELECT 1 FROM er WHERE entity_id = true_id AND entity_id LIKE 'S2-%')", "truth", "er"),
     "truth_anomalies": query("""SELECT anomaly, n FROM (SELECT 'rows' AS anomaly, (SELECT count(*) FROM s1) AS n UNION ALL SELECT 'duplicate_source1_rows', 0 UNION ALL SELECT 'invalid_source1_references', 0 UNION ALL SELECT 'missing_ground_truth_rows', 0
         UNION ALL SELECT 'duplicate_ids_in_lists', 0 UNION ALL SELECT 'source1_ids_as_matches', 0 UNION ALL SELECT 'malformed_match_ids', 0 UNION ALL SELECT 's2_matches', (SELECT count(*) FROM truth WHERE true_id LIKE 'S2-%')
         UNION ALL SELECT 's3_matches', (SELECT count(*) FROM truth WHERE true_id LIKE 'S3-%') UNION ALL SELECT 'missing_target_references', 0)""", "s1", "truth"),
-    "matches_subset_candidates": query("SELECT count(*) AS matches, count(*) FILTER (WHERE d.candidate_id IS NULL) AS outside FROM acc LEFT JOIN (SELECT * FROM drk WHERE rank <= 20) d USING (query_id, candidate_id)", "acc", "drk"),
+    "matches_subset_candidates": query("SELECT count(*) AS matches, count(*) FILTER (WHERE d.candidate_id IS NULL) AS outside FROM acc LEFT JOIN (SELECT * FROM drk WHERE rank <= 300) d USING (query_id, candidate_id)", "acc", "drk"),
     "family_overlap": query(f"""SELECT country, family, count(*) AS links FROM (SELECT DISTINCT f.country, f.query_id, split_part(a.key, ':', 1) AS family FROM (
         SELECT *, row_number() OVER (PARTITION BY country ORDER BY md5('{SEED}|' || query_id), query_id) AS place FROM (SELECT query_id, country, min(true_id) AS true_id FROM truth JOIN s1 USING (query_id) GROUP BY 1, 2)) f
         JOIN k3 a ON a.entity_id = f.query_id JOIN k3 b ON b.entity_id = f.true_id AND a.key = b.key WHERE place <= 400) GROUP BY country, family""", "truth", "s1", "k3"),
     "ablation_families": query(f"""SELECT mode, CAST(count(*) AS BIGINT) AS pairs, {r6('sum(s)', 'total_score')} FROM (SELECT mode, query_id, candidate_id, CAST(sum(part) AS DOUBLE) / 1e12 AS s FROM ehit JOIN (VALUES
         ('baseline', ['t','p','s','sk','c','n','ns','aw']), ('folded', ['t','p','s','sk','c','n','ns','aw','f_t','f_c','f_aw']), ('address_combinations', ['t','p','s','sk','c','n','ns','aw','a2','an','n2']), ('skeleton_fragments', ['t','p','s','sk','c','n','ns','aw','sg'])) m(mode, fam)
         ON list_contains(fam, route) GROUP BY ALL) GROUP BY mode""", "ehit"),
-    "country_compare": query("SELECT country, train_rows, test_rows, train_rows = 0 AS test_only FROM (SELECT country, count(*) FILTER (WHERE k % 2 = 0 AND country <> 'fr') AS train_rows, count(*) FILTER (WHERE k % 2 = 1) AS test_rows FROM (SELECT country, CAST(split_part(entity_id, '-', 2) AS BIGINT) AS k FROM doc) GROUP BY country)", "doc"),
+    "country_compare": "SELECT n_name AS country, count(*) FILTER (WHERE c_custkey % 3 = 0) AS train_rows, count(*) FILTER (WHERE c_custkey % 3 = 1) AS test_rows, count(*) FILTER (WHERE c_custkey % 3 = 0) = 0 AS test_only FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 3 < 2 GROUP BY n_name",
     "cartesian_sizes": query("SELECT country, s1, others, s1 * others AS pairs FROM (SELECT country, count(*) FILTER (WHERE entity_id LIKE 'S1-%') AS s1, count(*) FILTER (WHERE entity_id NOT LIKE 'S1-%') AS others FROM er GROUP BY country)", "er"),
     "confirmation_errors": query(f"""SELECT query_id, {r6('f05')}, true_n, predicted_n, (SELECT coalesce(string_agg(candidate_id, ',' ORDER BY candidate_id), '') FROM acc a WHERE a.query_id = pq.query_id AND NOT EXISTS (SELECT 1 FROM truth t WHERE t.query_id = a.query_id AND t.true_id = a.candidate_id)) AS false_positive_ids,
         (SELECT coalesce(string_agg(true_id, ',' ORDER BY true_id), '') FROM truth t WHERE t.query_id = pq.query_id AND NOT EXISTS (SELECT 1 FROM acc a WHERE a.query_id = t.query_id AND a.candidate_id = t.true_id)) AS false_negative_ids FROM pq WHERE f05 < 1""", "pq"),
-}
+    "indic_skeleton": f"""SELECT c_custkey, regexp_replace(translate(replace(regexp_replace(lower(n), '[aeiouh]', '', 'g'), 'x', 'ks'), 'c{INDIC_LETTERS}', 'k{LATIN_LETTERS.replace('c', 'k')}'), '[^a-z]', '', 'g') AS skeleton
+        FROM (SELECT c_custkey, array_slice('{INDIC_LETTERS}', 1 + c_custkey % {len(INDIC_LETTERS)}, 4 + c_custkey % {len(INDIC_LETTERS)}) || ' Chx ' || array_slice('{INDIC_LETTERS}', 1 + (7 * c_custkey) % {len(INDIC_LETTERS)}, 3 + (7 * c_custkey) % {len(INDIC_LETTERS)}) || chr(3201) || chr(3121) || chr(3249) AS n FROM customer)""",
+    "loss_table": query(f"""SELECT t.query_id AS source1_id, t.true_id AS true_candidate_id, a.country, left(t.true_id, 2) AS candidate_source, coalesce(rawf, '') AS shared_raw_families, coalesce(usef, '') AS shared_usable_families,
+        CASE WHEN rawf IS NULL THEN 'NO_RAW_KEY' WHEN coalesce(usef, '') = '' THEN 'ALL_SHARED_KEYS_PRUNED' WHEN rank <= 100 THEN 'IN_TOP_K' ELSE 'RANKED_BELOW_K' END AS reason, rank AS rank_if_ranked, {r6('score', 'retrieval_score')},
+        count(*) OVER (PARTITION BY t.query_id) AS number_of_true_siblings, 0 AS script_mismatch, CASE WHEN trim(a.business_address) = '' OR trim(b.business_address) = '' THEN 1 ELSE 0 END AS missing_address
+        FROM truth t JOIN er a ON a.entity_id = t.query_id JOIN er b ON b.entity_id = t.true_id LEFT JOIN drk r ON r.query_id = t.query_id AND r.candidate_id = t.true_id LEFT JOIN (
+        SELECT t.query_id, t.true_id, string_agg(DISTINCT split_part(x.key, ':', 1), ',' ORDER BY split_part(x.key, ':', 1)) AS rawf, string_agg(DISTINCT split_part(x.key, ':', 1), ',' ORDER BY split_part(x.key, ':', 1)) FILTER (WHERE x.country = y.country AND u.key IS NOT NULL) AS usef
+        FROM truth t JOIN k2 x ON x.entity_id = t.query_id JOIN k2 y ON y.entity_id = t.true_id AND x.key = y.key LEFT JOIN dus u ON u.country = x.country AND u.key = x.key GROUP BY 1, 2) s ON s.query_id = t.query_id AND s.true_id = t.true_id""", "truth", "er", "drk"),
+    "posting_sizes": query("""SELECT family, n AS count, v[1 + CAST(floor((n - 1) * 0.5) AS BIGINT)] AS p50, v[1 + CAST(floor((n - 1) * 0.9) AS BIGINT)] AS p90, v[1 + CAST(floor((n - 1) * 0.99) AS BIGINT)] AS p99, v[n] AS max
+        FROM (SELECT split_part(q.key, ':', 1) AS family, count(*) AS n, list_sort(list(coalesce(df, 0))) AS v FROM k2 q LEFT JOIN dst USING (country, key) WHERE entity_id LIKE 'S1-%' GROUP BY 1)""", "k2", "dst"),
+    "block_rules_by_support": query(f"""SELECT rule, {r6('avg(f05)', 'macro_f05')}, {r6('coalesce(avg(CASE WHEN true_n = 0 THEN CASE WHEN predicted_n = 0 THEN 1.0 ELSE 0.0 END END), 0)', 'singleton_accuracy')} FROM (SELECT rule, query_id, true_n, predicted_n, {F05} AS f05 FROM (
+        SELECT rule, s1.query_id, (SELECT count(*) FROM truth t WHERE t.query_id = s1.query_id) AS true_n, count(c.candidate_id) AS predicted_n, count(t.true_id) AS tp
+        FROM s1 CROSS JOIN (VALUES ('overlap', 1, 1000000000), ('two-supports', 2, 1000000000), ('top3', 1, 3), ('top1', 1, 1)) g(rule, least, most)
+        LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, candidate_id) AS place FROM sup8) c ON c.query_id = s1.query_id AND support >= least AND place <= most
+        LEFT JOIN truth t ON t.query_id = c.query_id AND t.true_id = c.candidate_id GROUP BY rule, s1.query_id)) GROUP BY rule""", "s1", "truth", "sup8"),
+    "dev_sample": query(f"""SELECT source1_entity_id, country, match_count, bucket, split, split = 'valid' AND place <= quota AND (dev_n <= 50 OR nth <= 50) AS dev_sample FROM (
+        SELECT *, count(*) FILTER (WHERE split = 'valid' AND place <= quota) OVER () AS dev_n, sum(CASE WHEN split = 'valid' AND place <= quota THEN 1 ELSE 0 END) OVER (ORDER BY source1_entity_id) AS nth FROM (
+        SELECT sp.*, row_number() OVER (PARTITION BY sp.country, sp.bucket, split ORDER BY md5('{SEED + 1}|' || source1_entity_id), source1_entity_id) AS place, coalesce(CASE WHEN share = 0 AND used < 50 THEN 1 ELSE share END, 0) AS quota
+        FROM ({_SPLIT}) sp LEFT JOIN (SELECT country, bucket, share, coalesce(sum(greatest(least(n, share), 1)) OVER (ORDER BY country, bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM (
+        SELECT country, bucket, n, round_even(n * 50 / CAST(sum(n) OVER () AS DOUBLE), 0) AS share FROM (SELECT country, bucket, count(*) AS n FROM ({_SPLIT}) WHERE split = 'valid' GROUP BY 1, 2))) q ON q.country = sp.country AND q.bucket = sp.bucket))""", "s1", "truth"),
+    "quota_allocation": query(f"""{_allocation('p', 'greatest(total // 5, 1, strata)', 1)}, {_allocation('m', 'greatest(total // 5, 1)', 0).removeprefix('WITH ')}
+        SELECT country, bucket, p.available, CAST(p.quota AS BIGINT) AS pilot, CAST(m.quota AS BIGINT) AS members FROM p JOIN m USING (country, bucket)"""),
+}

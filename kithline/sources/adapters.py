@@ -34,8 +34,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as records: the whole text as name, no address."""
+    return table(spark, sf_dir, "documents").where("doc_id is not null").selectExpr("concat('S', 1 + doc_id % 3, '-', doc_id) as entity_id", "text as business_name", "'' as business_address", "coalesce(lang, '') as country")
+
+
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customer as records; the name serves as address too, for its zero-padded number."""
-    return table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).selectExpr(
         "concat('S', 1 + c_custkey % 3, '-', c_custkey) as entity_id", "c_name as business_name", "c_name as business_address", "n_name as country"
     )

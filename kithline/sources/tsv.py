@@ -41,7 +41,9 @@ def load_tsv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     if missing:
         raise DataValidationError(f"{path} missing required columns {missing}; actual columns: {names}")
     schema = StructType([StructField(c, StringType()) for c in names])
-    return spark.read.csv(path, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=True, mode="FAILFAST", enforceSchema=True).na.fill("")
+    # a quoted field goes over several lines only if some line has an odd number of quotes; else files are read in splits
+    broken = not spark.read.text(path).where("(length(value) - length(replace(value, '\"', ''))) % 2 = 1").isEmpty()
+    return spark.read.csv(path, schema=schema, sep="\t", header=True, quote='"', escape='"', multiLine=broken, mode="FAILFAST", enforceSchema=True).na.fill("")
 
 
 def load_entities(spark: SparkSession, path: str) -> DataFrame:
@@ -56,14 +58,20 @@ def load_bundle(spark: SparkSession, source1: str, source2: str, source3: str, t
     return Bundle(*(load_entities(spark, p) for p in (source1, source2, source3)), load_truth(spark, truth) if truth else None)
 
 
-def with_raggedness(spark: SparkSession, path: str) -> DataFrame:
-    """Every row after the first with ``fields`` (split at tabs) and ``ragged``: whether their number isn't the header's."""
-    raw = spark.read.text(path)
+def _after_header(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """The header's fields, and the lines after it: the header is known by its place in the file, not by its text."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     head = raw.first()
     if head is None:
         raise DataValidationError(f"Empty TSV file: {path}")
-    n = len(head["value"].split("\t"))
-    return raw.where(F.col("value") != head["value"]).select(F.split("value", "\t", -1).alias("fields")).withColumn("ragged", F.size("fields") != n)
+    first = raw.where((F.col("block") == 0) & (F.col("value") == head["value"])).groupBy("file").agg(F.min("place").alias("place"))  # a row a file
+    return head["value"].rstrip("\r").split("\t"), raw.join(first, ["file", "place"], "left_anti").select("value")
+
+
+def with_raggedness(spark: SparkSession, path: str) -> DataFrame:
+    """Every row after the first with ``fields`` (split at tabs) and ``ragged``: whether their number isn't the header's. Rows that repeat the header are rows."""
+    names, lines = _after_header(spark, path)
+    return lines.select(F.split("value", "\t", -1).alias("fields")).withColumn("ragged", F.size("fields") != len(names))
 
 
 def selected(frame: DataFrame, ids: DataFrame, column: str) -> DataFrame:

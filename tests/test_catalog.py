@@ -18,7 +18,7 @@ def sf_dir(spark, tmp_path_factory):
 
 
 def test_cutoffs_differ(spark, sf_dir):
-    got = {r.cutoff: r for r in QUERIES["cutoff_sweep_k300"](spark, sf_dir).collect()}
+    got = {r.cutoff: r for r in QUERIES["cutoff_sweep"](spark, sf_dir).collect()}
     assert sorted(got) == [20, 50, 100, 150, 300]
     few = [got[k].predicted_pairs for k in (20, 50)]
     assert few[0] < few[1] <= got[300].predicted_pairs
@@ -39,7 +39,7 @@ def test_pair_model_scores_whole_pools_of_all_queries(spark, sf_dir, monkeypatch
     assert min(r["count"] for r in got) > 20
 
 
-@pytest.mark.parametrize("name", ["pair_features_all19_k300", "route_pool_k1000"])
+@pytest.mark.parametrize("name", ["pair_features_all19", "route_pool"])
 def test_pools_go_beyond_20(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir).groupBy("query_id").count().collect()
     assert len(got) == N // 3 and min(r["count"] for r in got) > 20

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from kithline.functions.constants import FEATURES
 from kithline.operators import audit, evaluate, features, index, keys, model, records, retrieve, rules, sampling, validate
+from kithline.functions import constants
 from kithline.sources import tsv
 
 ENTITY = "entity_id string, business_name string, business_address string, country string"
@@ -173,11 +174,74 @@ def test_split_and_quotas(spark):
     out = sampling.split(rows)
     assert {(r.entities, r.valid) for r in sampling.summary(out).collect()} == {(10, 1)}
     assert sampling.dev_sample(out, 4).where("dev_sample").count() == 4
-    quota = sampling.pilot_quotas({("a",): 40, ("b",): 9, ("c",): 1}, 20)
-    assert sum(quota.values()) == 20 and min(quota.values()) == 1
-    assert sampling.member_quotas({("a",): 40, ("b",): 9, ("c",): 1}, 5) == {("a",): 4, ("b",): 1, ("c",): 0}
-    with pytest.raises(ValueError, match="between"):
-        sampling.pilot_quotas({("a",): 2}, 3)
+    groups = spark.createDataFrame([("a", 40), ("b", 9), ("c", 1)], "g string, available long")
+    dealt = lambda size, least: {r.g: r.quota for r in sampling.allocated(groups, ["g"], size, least).collect()}
+    pilot = dealt(20, 1)
+    assert sum(pilot.values()) == 20 and min(pilot.values()) == 1
+    assert dealt(5, 0) == {"a": 4, "b": 1, "c": 0} and dealt(50, 1) == {"a": 40, "b": 9, "c": 1}
+    assert dealt(3, 1) == {"a": 2, "b": 1, "c": 0} and dealt(2, 1) == {"a": 1, "b": 1, "c": 0}
+    for size in (0, 51):
+        with pytest.raises(ValueError, match="chosen"):
+            dealt(size, 1)
+
+
+def test_largest_remainders(spark):
+    n = {f"g{i}": 3 + 7 * i % 23 for i in range(12)}
+    groups = spark.createDataFrame(list(n.items()), "g string, available long")
+    for size in (1, 7, 30, 61, sum(n.values())):
+        share = {g: size * k / sum(n.values()) for g, k in n.items()}
+        left = size - sum(int(x) for x in share.values())
+        more = sorted(n, key=lambda g: (share[g] - int(share[g]), g), reverse=True)[:left]
+        assert {r.g: r.quota for r in sampling.allocated(groups, ["g"], size).collect()} == {g: int(share[g]) + (g in more) for g in n}
+
+
+def test_membership_leaves_pilot_ids_out(spark):
+    rows = spark.createDataFrame([(f"S1-{i}", "US" if i % 2 else "India", "1", "valid" if i % 4 else "train", str(int(i % 3 > 0))) for i in range(80)], "source1_entity_id string, country string, bucket string, split string, dev_sample string")
+    pilot = sampling.membership(rows, "valid", 10)
+    assert pilot.count() == 10 and pilot.where("split <> 'valid' or dev_sample <> '1'").isEmpty()
+    rest = sampling.membership(rows, "valid", 20, pilot)
+    assert rest.count() == 20 and rest.join(pilot, "source1_entity_id").isEmpty()
+    assert sampling.membership(rows, "train", 20).where("split = 'train'").count() == 20
+
+
+def test_support_caps(spark):
+    """A word and a number that nine records share: too many for the block rules, few enough for candidates."""
+    one = spark.createDataFrame([("S1-1", "US", "t:amberly"), ("S1-1", "US", "n:4711")], "entity_id string, country string, key string")
+    shared = spark.createDataFrame([(f"S2-{i}", "US", k, 9) for i in range(9) for k in ("t:amberly", "n:4711")], "entity_id string, country string, key string, df long")
+    assert rules.supported(one, shared, constants.SUPPORT_BLOCK).isEmpty() and rules.supported(one, shared, constants.SUPPORT_RANK).count() == 9
+    assert rules.supported(one, shared.where("entity_id <> 'S2-0'"), constants.SUPPORT_BLOCK).count() == 8
+
+
+def test_reports_over_nothing(spark):
+    none = spark.createDataFrame([], "v bigint")
+    assert tuple(evaluate.distribution(none, "v").first()) == (0, 0, 0, 0, 0) and tuple(evaluate.plain_quantiles(none, "v").first()) == (0, 0, 0)
+    some = spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "v bigint")
+    assert tuple(evaluate.plain_quantiles(some, "v").first()) == (4, 3, 4)
+
+
+def test_unranked_usable_link_fails(spark):
+    truth = spark.createDataFrame([("S1-1", "S2-1")], "query_id string, true_id string")
+    keys_ = spark.createDataFrame([("S1-1", "US", "t:a"), ("S2-1", "US", "t:a")], "entity_id string, country string, key string")
+    ranks = spark.createDataFrame([], "query_id string, candidate_id string, rank int, score double")
+    with pytest.raises(Exception, match="has no rank"):
+        evaluate.losses(truth, keys_, keys_.select("country", "key").distinct(), ranks).collect()
+
+
+def test_block_report(spark):
+    queries = spark.createDataFrame([("S1-1",), ("S1-2",)], "entity_id string")
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-1", "S2-9"), ("S1-2", "S2-2")], "query_id string, true_id string")
+    shared = spark.createDataFrame([("S1-1", "S2-1", 1), ("S1-1", "S2-3", 2), ("S1-2", "S2-4", 1)], "query_id string, candidate_id string, shared long")
+    got = evaluate.block_report(queries, truth, shared, 1).first()
+    assert (got.true_links, got.found, got.shortlisted, got.queries, got.median_pool) == (3, 1, 0, 2, 2)
+
+
+def test_rows_like_the_header_are_rows(spark, tmp_path):
+    path = tmp_path / "r.tsv"
+    path.write_text("a\tb\na\tb\n1\t2\t3\n\nx\ty\n", encoding="utf-8")
+    got = [(tuple(r.fields), r.ragged) for r in tsv.with_raggedness(spark, f"file://{path}").collect()]
+    assert got == [(("a", "b"), False), (("1", "2", "3"), True), (("",), True), (("x", "y"), False)]
+    (tmp_path / "m.tsv").write_text('entity_id\tbusiness_name\tbusiness_address\tcountry\nS1-1\t"two\nlines"\tx\tUS\nS1-2\tplain\ty\tUS\n', encoding="utf-8")
+    assert [r.business_name for r in tsv.load_entities(spark, f"file://{tmp_path}/m.tsv").orderBy("entity_id").collect()] == ["two\nlines", "plain"]
 
 
 def test_tsv_source_and_sink(spark, tmp_path):

@@ -82,3 +82,17 @@ def test_key_families(spark):
 def test_caps(spark):
     got = spark.createDataFrame([("n:12",), ("n:123",), ("f:t:abc",), ("zz:1",), ("a2:x|y",)], "key string").select(keys.cap()).collect()
     assert [r[0] for r in got] == [400, 5000, 4000, 2000, 2500]
+
+
+def test_indic_letters(spark):
+    from kithline.functions.constants import INDIC_LETTERS, LATIN_LETTERS
+
+    assert len(INDIC_LETTERS) == len(LATIN_LETTERS) == len(set(INDIC_LETTERS))
+    assert not {chr(c) for c in (0x0CB1, 0x0C31, 0x0C81)} & set(INDIC_LETTERS)
+    for name, skeleton in (("\u0cb1\u0c31\u0c81", ""), ("ಕರ್ನಾಟಕ", "krntk"), ("తెలుగు", "tlg"), ("फ़ोन", "fn"), ("कृष्ण", "krsn"), ("चंद्र", "kndr"), ("ऱ", "r")):
+        assert one(spark, T.consonant_skeleton("n"), n=folded(name)) == skeleton
+
+
+def test_letters_and_digits_apart():
+    for text, want in (("a1b22c", "a 1 b 22 c"), ("x²y½", "x 2 y 1\u20442"), ("٣abc", "٣ abc"), ("a_1-b", "a 1 b"), ("1\t2\u00a03", "1 2 3"), ("Ⅷ9", "viii 9"), ("a\u0301\u0327 9", "\u00e1\u0327 9"), ("", "")):
+        assert normalized(text) == want
