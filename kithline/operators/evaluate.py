@@ -175,9 +175,9 @@ def distribution(values: DataFrame, value: str, *by: str) -> DataFrame:
 def plain_quantiles(values: DataFrame, value: str) -> DataFrame:
     """count, median and p90: the values at places floor(n / 2) and floor(0.9 n), the last at most; 0 over nothing."""
     every = Window.partitionBy(F.lit(0))
-    grouped = values.groupBy(value).agg(F.count("*").alias("n"))
-    placed = grouped.withColumn("upto", F.sum("n").over(every.orderBy(value))).withColumn("total", F.sum("n").over(every))
-    at = lambda place: F.min(F.when(F.col("upto") > F.least(F.floor(place), F.col("total") - 1), F.col(value)))
+    grouped = values.groupBy(F.col(value).alias("kith_v")).agg(F.count("*").alias("n"))
+    placed = grouped.withColumn("upto", F.sum("n").over(every.orderBy("kith_v"))).withColumn("total", F.sum("n").over(every))
+    at = lambda place: F.min(F.when(F.col("upto") > F.least(F.floor(place), F.col("total") - 1), F.col("kith_v")))
     return placed.agg(F.coalesce(F.max("total"), F.lit(0)).alias("count"), at(F.col("total") / 2).alias("median"), at(F.col("total") * 0.9).alias("p90")).na.fill(0)
 
 

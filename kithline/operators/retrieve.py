@@ -31,19 +31,23 @@ def _route_bit() -> Column:
 def scores(query_keys: DataFrame, postings: DataFrame, stats: DataFrame, population: DataFrame, legacy: bool = False, with_routes: bool = True) -> DataFrame:
     """query_id, candidate_id, score, routes: all records that share a usable key with a query.
 
-    Sums are whole numbers of 1e-12, so they do not depend on the order of rows, and
-    routes are bits until the end: both aggregate without objects. Legacy mode counts
-    a key once for each occurrence on either side and measures rarity by
-    occurrences. Caps are applied before the join, so a key fans out to its cap at
-    most.
+    Caps are applied before anything is joined, so the postings of a key are one list
+    of its cap's length at most. Lists, not hits, go to the partition of the query,
+    and are taken apart and summed there: hits are never shuffled. Sums are whole
+    numbers of 1e-12, so they do not depend on the order of rows, and routes are bits
+    until the end: both aggregate without objects. Legacy mode counts a key once for
+    each occurrence on either side and measures rarity by occurrences.
     """
     count = "tf" if legacy else "df"
+    times = " * q_mult * post.mult" if legacy else ""
     keys = usable(stats, legacy).join(population, "country").select("country", "key", F.expr(idf("population", count)).alias("idf"), _route_bit().alias("bit"))
-    times = " * q_mult * mult" if legacy else ""
+    post = F.struct(F.col("entity_id").alias("id"), "mult") if legacy else F.struct(F.col("entity_id").alias("id"))
+    lists = postings.join(keys, ["country", "key"]).groupBy("country", "key").agg(F.first("idf").alias("idf"), F.first("bit").alias("bit"), F.collect_list(post).alias("posts"))
+    asked = query_keys.select(F.col("entity_id").alias("query_id"), "country", "key", F.col("weight").alias("q_weight"), F.col("mult").alias("q_mult"))
     hits = (
-        query_keys.select(F.col("entity_id").alias("query_id"), "country", "key", F.col("weight").alias("q_weight"), F.col("mult").alias("q_mult")).join(keys, ["country", "key"])
-        .join(postings.select("country", "key", F.col("entity_id").alias("candidate_id"), "mult"), ["country", "key"])
-        .select("query_id", "candidate_id", F.expr(f"cast(round(q_weight * idf{times} * 1e12D) as bigint)").alias("part"), "bit")
+        asked.join(lists, ["country", "key"]).select("query_id", "q_weight", "q_mult", "idf", "bit", "posts").repartition("query_id")
+        .select("query_id", "q_weight", "q_mult", "idf", "bit", F.explode("posts").alias("post"))
+        .select("query_id", F.col("post.id").alias("candidate_id"), F.expr(f"cast(round(q_weight * idf{times} * 1e12D) as bigint)").alias("part"), "bit")
     )
     found = [(F.sum("part") / F.lit(1e12)).alias("score")] + ([F.bit_or("bit").alias("bits")] if with_routes else [])
     out = hits.groupBy("query_id", "candidate_id").agg(*found)
