@@ -43,8 +43,10 @@ from pyspark.sql import DataFrame
 
 from kithline.llm.common import arrow_map
 
-#: The words kept with their encodings in a task: this many newer ones and as many older ones.
-WORD_TABLE = 40_000
+#: The words kept with their encodings in a task, once they have come twice: this many newer ones and as many older ones. Bits that tell whether a word has come.
+WORD_TABLE, SEEN_BITS = 60_000, 22
+#: Transitions by failure arcs, and arcs of states, that a task keeps resolved.
+STEP_TABLE, ARC_TABLE = 200_000, 200_000
 _END = "\0"
 #: Characters below this, but for one, are classed and folded alike by Python and the tokenizer library.
 _PLAIN_BELOW = "԰"
@@ -137,7 +139,7 @@ class TokenAutomaton:
         self.ids = array("i", number)
         self.number = number
         kept = {s: i for i, s in enumerate(dict.fromkeys(leads.get(t, 0) for t in self.ids))}
-        self.leads = array("i", (kept[leads.get(t, 0)] for t in self.ids))
+        self.leads = [kept[leads.get(t, 0)] for t in self.ids]
         edges, heads = array("i"), array("i", [0])
         for s in kept:
             out: list[tuple[int, int]] = []
@@ -188,41 +190,61 @@ class TokenAutomaton:
                     f = self.fail[f]
                 self.fail[node] = goto.get(f * self.width + c, 0) if up else 0
                 self.longest[node] = ends.get(node, self.longest[self.fail[node]])
-        self.shorter = array("i", (self.longest[self.fail[node]] for node in at_label))
-        self.goto = goto
+        self.shorter = [self.longest[self.fail[node]] for node in at_label]
+        self.size = self.size.tolist()
+        self._most_steps = len(goto) + STEP_TABLE
+        # a transition has the row of the node it leads to, the longest label that ends there, and that label's size
+        self.goto = {k: (n * self.width, self.longest[n], self.size[self.longest[n]]) for k, n in goto.items()}
+        self._open: dict[int, bool] = {}
+
+    def _step(self, row: int, c: int) -> tuple[int, int, int]:
+        """The transition that the failure arcs lead to; kept."""
+        key, into = row + c, None
+        while into is None:
+            row = self.fail[row // self.width] * self.width
+            into = self.goto.get(row + c)
+        if len(self.goto) < self._most_steps:
+            self.goto[key] = into
+        return into
+
+    def _arc(self, state: int, b: int) -> bool:
+        """Whether a state has an arc; kept."""
+        lo = self.heads[state]
+        found = not (bisect_right(self.edges, b, lo, self.heads[state + 1]) - lo) & 1
+        if len(self._open) < ARC_TABLE:
+            self._open[state << 20 | b] = found
+        return found
 
     def arc(self, a: int, b: int) -> bool:
         """Whether label b can be read after label a (ids)."""
-        state, b = self.leads[self.number[a]], self.number[b]
-        lo = self.heads[state]
-        return not (bisect_right(self.edges, b, lo, self.heads[state + 1]) - lo) & 1
+        return self._arc(self.leads[self.number[a]], self.number[b])
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of the one accepted path that spells the word (byte labels)."""
         if not word:
             return []
-        goto, fail, longest, shorter, size, leads, heads, edges, width = self.goto, self.fail, self.longest, self.shorter, self.size, self.leads, self.heads, self.edges, self.width
-        spelled = [self.symbol.get(c, -1) for c in word]
+        goto, shorter, size, leads, arcs, symbol = self.goto, self.shorter, self.size, self.leads, self._open, self.symbol
+        spelled = [symbol.get(c, -1) for c in word]
         if self.suffix:
-            spelled[-1] = self.symbol.get(word[-1] + _END, -1)
-        if min(spelled) < 0:
+            spelled[-1] = symbol.get(word[-1] + _END, -1)
+        if -1 in spelled:
             raise ValueError("a word has a symbol that the automaton doesn't read")
-        path = [-1] * (len(spelled) + 1)  # the label that ends after so many symbols
-        node = 0
-        for i, c in enumerate(spelled, 1):
-            into = goto.get(node * width + c)
-            while into is None:
-                node = fail[node]
-                into = goto.get(node * width + c)
-            node = into
-            t = longest[node]
-            while size[t] < i:
-                state = leads[path[i - size[t]]]
-                lo = heads[state]
-                if not (bisect_right(edges, t, lo, heads[state + 1]) - lo) & 1:
+        path, states = [-1], [-1]  # the label that ends after so many symbols, and where it leads
+        row = i = 0
+        for c in spelled:
+            i += 1
+            row, t, n = goto.get(row + c) or self._step(row, c)
+            while n != i:
+                state = states[i - n]
+                there = arcs.get(state << 20 | t)
+                if there is None:
+                    there = self._arc(state, t)
+                if there:
                     break
                 t = shorter[t]
-            path[i] = t
+                n = size[t]
+            path.append(t)
+            states.append(leads[t])
         out, i = [], len(spelled)
         while i:
             out.append(self.ids[path[i]])
@@ -251,8 +273,9 @@ class WordTokenizer:
         self.apart = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
         self.words = plain_pattern(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.labels = str.maketrans({chr(b): c for b, c in enumerate(byte_labels())})
-        self.known: dict[str, tuple[int, str, str]] = {}
-        self.older: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+        self.seen, self.came = bytearray(1 << (SEEN_BITS - 3)), 0
 
     def split(self, text: str) -> list[str]:
         """Normalised words of a text without special strings."""
@@ -262,28 +285,38 @@ class WordTokenizer:
         pieces = self.library.pre_tokenizer.pre_tokenize_str(text)
         return [text[a:b] for _, (a, b) in pieces]
 
-    def word(self, word: str) -> tuple[int, str, str]:
-        """Number of ids, the ids and the labels of one word, as text."""
-        got = self.known.get(word)
+    def word(self, word: str) -> tuple[str, str]:
+        """The ids and the labels of one word, as text."""
+        got = self.older.get(word)
         if got is None:
-            got = self.older.get(word)
-            if got is None:
-                path = self.automaton.encode_word(word.encode().decode("latin-1").translate(self.labels))
-                got = (len(path), " ".join(map(str, path)), " ".join(self.automaton.decode(path)))
-            if len(self.known) >= WORD_TABLE:
-                self.known, self.older = {}, self.known
-            self.known[word] = got
+            path = self.automaton.encode_word(word.encode().decode("latin-1").translate(self.labels))
+            got = (" ".join(map(str, path)), " ".join(self.automaton.decode(path)))
+            bit = hash(word) & ((1 << SEEN_BITS) - 1)
+            if not self.seen[bit >> 3] >> (bit & 7) & 1:  # most words come once and would only push others out
+                self.seen[bit >> 3] |= 1 << (bit & 7)
+                self.came += 1
+                if self.came << 2 > 1 << SEEN_BITS:
+                    self.seen, self.came = bytearray(len(self.seen)), 0
+                return got
+        if len(self.known) >= WORD_TABLE:
+            self.known, self.older = {}, self.known
+        self.known[word] = got
         return got
 
     def encode(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, ids joined by a space, decoded text."""
-        found: list[tuple[int, str, str]] = []
+        found: list[tuple[str, str]] = []
         for part in self.apart.split(text or "") if text and "<|" in text else [text or ""]:
             if part in self.special:
-                found.append((1, str(self.special[part]), part))
+                found.append((str(self.special[part]), part))
             elif part:
-                found.extend(map(self.word, self.split(part)))
-        return sum(x[0] for x in found), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+                words = self.split(part)
+                got = list(map(self.known.get, words))
+                if None in got:
+                    got = [x or self.known.get(w) or self.word(w) for x, w in zip(got, words)]
+                found += got
+        ids = " ".join([x[0] for x in found])
+        return ids.count(" ") + bool(ids), ids, " ".join([x[1] for x in found])
 
 
 @lru_cache(maxsize=2)
