@@ -9,9 +9,11 @@ are at cosine 1, and texts that share what the label goes with are near.
 
 The examples, a bounded sample of labelled texts, form postings in blocks of
 ``BLOCK`` examples; for each term and block with that term the largest weight is
-kept. A search scores the most promising blocks, then every block whose bound
-reaches the k-th best similarity found: the result is that of a full scan. The
-score of a text is the share of its neighbours' votes, weighted by similarity
+kept. The ``FREQUENT`` most frequent terms have long postings and little weight; an
+example has its weights for them in one row, and the row's length bounds (after
+Cauchy and Schwarz) what they can add. A search scores the most promising blocks,
+then every block, and of it every example, whose bound reaches the k-th best
+similarity found: the result is that of a full scan. The score of a text is the share of its neighbours' votes, weighted by similarity
 squared and by how the sample thinned the classes, and calibrated by isotonic
 regression on leave-one-out votes. Neighbours are the evidence.
 
@@ -40,7 +42,9 @@ from kithline.llm.common import arrow_map, fold, held_out, kind, sample_fraction
 MOST_PER_CLASS, MOST_BYTES = 2_000, 200_000
 #: Relevance of a term that doesn't go with the label; standard errors at which it begins to rise and at which it is 1; toxic examples that such a term is in at least.
 FLOOR, FROM, TO, SUPPORT = 0.03, 2.5, 7.0, 3
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK, FREQUENT = 15, 64, 512
+#: More than the error of a sum of FREQUENT products of numbers up to 1 in 32 bits.
+SLACK = 1e-4
 PREFIXES = (4, 5, 6)
 _PREFIX = np.uint64(0x5851F42D4C957F2D)
 
@@ -72,7 +76,8 @@ def _counted(doc: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All positions of the ranges one after another, and the size of each range."""
     size = hi - lo
-    return np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum()), size
+    ends = np.cumsum(size, dtype=np.int32)
+    return np.repeat(lo - ends + size, size) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32), size
 
 
 @dataclass
@@ -85,7 +90,12 @@ class Examples:
     ids: list  # doc_id of each example
     label: np.ndarray
     weight: np.ndarray  # how many documents an example stands for
-    post_id: np.ndarray  # postings by (term, example)
+    row: np.ndarray  # term: its column among the frequent ones, or -1
+    rows: np.ndarray  # example x frequent term
+    short: np.ndarray  # the same the other way round, in 32 bits
+    length: np.ndarray  # of each row
+    block_length: np.ndarray  # the longest of each block
+    post_id: np.ndarray  # postings by (term, example) of the other terms
     post_weight: np.ndarray
     term_at: np.ndarray  # term: its first entry
     entry_block: np.ndarray  # entries: a term in a block
@@ -107,31 +117,46 @@ class Examples:
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k most similar examples with positive similarity, and the similarities."""
+        often = self.row[terms] >= 0
+        column, much = self.row[terms[often]], weights[often]
+        far = float(np.sqrt((much * much).sum()))
+        terms, weights = terms[~often], weights[~often]
         entries, size = _ranges(self.term_at[terms], self.term_at[terms + 1])
         w, block = np.repeat(weights, size), self.entry_block[entries]
-        blocks = -(-len(self.ids) // BLOCK)
-        bound = np.bincount(block, w * self.entry_max[entries], blocks)
-        order = np.argsort(-bound, kind="stable")
+        blocks = len(self.block_length)
+        bound = np.bincount(block, w * self.entry_max[entries], blocks) + far * self.block_length
+        asked = np.zeros(self.rows.shape[1])
+        asked[column] = much
+        scored: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def exact(some: np.ndarray, part: np.ndarray) -> float:
+            """Takes these examples in; the k-th best so far."""
+            scored.append((some, np.where(some == without, 0.0, part[some] + self.rows[some] @ asked)))
+            got = np.concatenate([x for _, x in scored])
+            return float(np.partition(got, len(got) - k)[len(got) - k]) if len(got) > k else 0.0
+
         now = np.zeros(blocks, bool)
-        now[order[: k // BLOCK + 2]] = True
+        now[np.argpartition(-bound, k // BLOCK + 1)[: k // BLOCK + 2] if blocks > k // BLOCK + 2 else slice(None)] = True
         mine = now[block]
-        score = self._scores(entries[mine], w[mine])
-        if without >= 0:
-            score[without] = 0
-        least = np.partition(score, len(score) - k)[len(score) - k] if len(score) > k else 0.0
-        mine = (~now & (bound >= max(least - 1e-9, 1e-12)))[block]
-        if mine.any():
-            score += self._scores(entries[mine], w[mine])
-            if without >= 0:
-                score[without] = 0
+        least = exact(np.flatnonzero(np.repeat(now, BLOCK)[: len(self.ids)]), self._scores(entries[mine], w[mine]))
+        rest = ~now & (bound >= max(least - 1e-9, 1e-12))
+        if rest.any():
+            mine = rest[block]
+            part = self._scores(entries[mine], w[mine])
+            first = np.flatnonzero(np.repeat(rest, BLOCK)[: len(self.ids)] & (part + far * self.length >= least - 1e-9))
+            if len(first) > 8 * k:
+                # what the rows add, in short numbers: right to SLACK, so a closer bound
+                reach = part[first] + (much.astype(np.float32) @ self.short[column])[first] + SLACK
+                top = np.argpartition(-reach, 2 * k)
+                least = exact(first[top[: 2 * k]], part)
+                first = first[top[2 * k :]]
+                first = first[reach[top[2 * k :]] >= least - 1e-9]
+            exact(first, part)
+        some, score = (np.concatenate([x[i] for x in scored]) for i in (0, 1))
         score = np.round(score, 9)
-        if len(score) > k:  # ties go by order
-            least = np.partition(score, len(score) - k)[len(score) - k]
-            some = np.flatnonzero(score >= max(least, 1e-9))
-        else:
-            some = np.flatnonzero(score > 0)
-        best = some[np.argsort(-score[some], kind="stable")[:k]]
-        return best, score[best]
+        best = np.lexsort((some, -score))[:k]  # ties go by order
+        best = best[score[best] > 0]
+        return some[best], score[best]
 
     def vote(self, best: np.ndarray, similarity: np.ndarray) -> float:
         """Share of the votes that are for the label; -1 without neighbours."""
@@ -183,7 +208,7 @@ def relevance(bad: np.ndarray, fine: np.ndarray, n_bad: float, n_fine: float) ->
 def index(ids: list, label: np.ndarray, weight: np.ndarray, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, whole: np.ndarray) -> Examples:
     """Weights, blocks, postings and calibration over examples given as (doc, term, tf, whole word) rows."""
     n, none = len(ids), np.zeros(0)
-    model = Examples(none.astype(np.uint64), none, 0.0, [], none, none, none.astype(np.int64), *[none] * 7, silent=0.0)
+    model = Examples(none.astype(np.uint64), none, 0.0, [], none, none, none.astype(np.int64), *[np.zeros((0, 0))] * 2, *[none] * 10, silent=0.0)
     if not n:
         return model
     terms, first, at = np.unique(term, return_index=True, return_inverse=True)
@@ -206,14 +231,28 @@ def index(ids: list, label: np.ndarray, weight: np.ndarray, doc: np.ndarray, ter
     doc = new[doc]
     order = np.lexsort((doc, at))
     doc, at, w = doc[order], at[order], w[order]
-    model.post_id, model.post_weight = doc.astype(np.int32), w
     blocks = -(-n // BLOCK)
+    df = np.bincount(at, minlength=len(model.terms))
+    often = np.sort(np.argsort(-df, kind="stable")[:FREQUENT])
+    often = often[df[often] * 32 > n]
+    model.row = np.full(len(model.terms), -1)
+    model.row[often] = np.arange(len(often))
+    model.rows = np.zeros((n, len(often)))
+    own = model.row[at] >= 0
+    model.rows[doc[own], model.row[at[own]]] = w[own]
+    model.short = np.ascontiguousarray(model.rows.T, np.float32)
+    model.length = np.sqrt((model.rows**2).sum(1))
+    model.block_length = np.maximum.reduceat(model.length, np.arange(0, n, BLOCK))
+    every = doc, at, w
+    doc, at, w = doc[~own], at[~own], w[~own]
+    model.post_id, model.post_weight = doc.astype(np.int32), w
     cell = at * blocks + doc // BLOCK
     heads = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-    model.entry_at = np.append(heads, len(cell))
+    model.entry_at = np.append(heads, len(cell)).astype(np.int32)
     model.entry_block = (cell[heads] % blocks).astype(np.int32)
     model.entry_max = np.maximum.reduceat(w, heads) if len(heads) else w
-    model.term_at = np.searchsorted(cell[heads] // blocks, np.arange(len(model.terms) + 1))
+    model.term_at = np.searchsorted(cell[heads] // blocks, np.arange(len(model.terms) + 1)).astype(np.int32)
+    doc, at, w = every
     votes = np.full(n, -1.0)
     by_doc = np.lexsort((at, doc))
     starts = np.searchsorted(doc[by_doc], np.arange(n + 1))

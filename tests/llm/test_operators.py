@@ -254,6 +254,33 @@ def test_votes_and_calibration_are_those_of_a_full_scan():
     assert 5 in evidence[60] and evidence[61] == evidence[62] == []
 
 
+def test_search_is_that_of_a_full_scan(monkeypatch):
+    """Blocks, rows of frequent terms and both bounds against all similarities; also with no frequent terms at all."""
+    rnd = np.random.default_rng(1)
+    n = 900
+    term = np.minimum(rnd.zipf(1.3, (n, 30)), 4000).astype(np.uint64)
+    term[::40] = term[1::40][: len(term[::40])]  # copies
+    doc = np.repeat(np.arange(n), 30)
+    rows = (*toxicity._counted(doc, term.ravel()),)
+    rows = (*rows, np.ones(len(rows[0]), bool))
+    label = (rnd.random(n) < 0.3).astype(float)
+    for often in (512, 40, 0):
+        monkeypatch.setattr(toxicity, "FREQUENT", often)
+        model = toxicity.index(list(range(n)), label, np.ones(n), *rows)
+        assert model.rows.shape[1] <= often and (often == 0) == (model.rows.shape[1] == 0)
+        full = dense_vectors(model, rows, n)[np.array(model.ids)]
+        for k in (1, 15, 100, 2000):
+            for i in range(0, n, 37):
+                some = np.flatnonzero(full[i])
+                best, similarity = model.search(some, full[i, some], k, without=i if k == 15 else -1)
+                want = np.round(full @ full[i], 9)
+                if k == 15:
+                    want[i] = 0
+                order = np.argsort(-want, kind="stable")[:k]
+                order = order[want[order] > 0]
+                assert np.allclose(similarity, want[order], atol=2e-9) and len(set(best.tolist()) ^ set(order.tolist())) <= 2
+
+
 def test_toxicity_odd_rows(spark):
     texts = [f"{w} {x}" for w in ("vile trash", "fine day") for x in VOCAB] * 2
     docs = frame(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
