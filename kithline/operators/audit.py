@@ -106,3 +106,37 @@ def example_lines(pairs: DataFrame) -> DataFrame:
         F.expr(T.jaccard(f"array_distinct({T.words('lower(q_name)')})", f"array_distinct({T.words('lower(c_name)')})", "1.0D")).alias("name_similarity"),
         F.expr(f"size(array_intersect({T.numbers('q_address')}, {T.numbers('c_address')}))").alias("shared_numbers"),
     )
+
+
+def anomaly_examples(truth: DataFrame, s1: DataFrame, most: int = 10) -> DataFrame:
+    """kind, example: the first few ids behind the counters of malformed, unknown and repeated references."""
+    items = _items(truth)
+    strange = items.where("not id rlike '^S[23]-[0-9]+$'").select(F.lit("malformed or foreign match id").alias("kind"), F.concat_ws(":", "source1_entity_id", "id").alias("example"))
+    unknown = truth.join(s1.select(F.col("entity_id").alias("source1_entity_id")), "source1_entity_id", "left_anti").select(F.lit("unknown source 1 id").alias("kind"), F.col("source1_entity_id").alias("example"))
+    twice = items.groupBy("source1_entity_id", "id").count().where("count > 1").select(F.lit("id twice in a list").alias("kind"), F.concat_ws(":", "source1_entity_id", "id").alias("example"))
+    rows = strange.unionByName(unknown).unionByName(twice).distinct()
+    return per_group(rows, ["kind"], most, "example")
+
+
+def native_script(name: str) -> str:
+    """Whether a name has a letter beyond ASCII."""
+    return f"{name} rlike '[\\\\p{{L}}&&[^\\\\x00-\\\\x7F]]'"
+
+
+def report(s1: DataFrame, s2: DataFrame, s3: DataFrame, truth: DataFrame) -> DataFrame:
+    """section, item, value: the whole audit as one tall frame."""
+    out = None
+
+    def add(section: str, rows: DataFrame, item: str, value: str) -> None:
+        nonlocal out
+        got = rows.select(F.lit(section).alias("section"), F.expr(item).alias("item"), F.expr(f"cast({value} as string)").alias("value"))
+        out = got if out is None else out.unionByName(got)
+
+    for name, frame in (("S1", s1), ("S2", s2), ("S3", s3)):
+        one = profile(frame, name)
+        add(name, one.unpivot([], one.columns, "item", "value"), "item", "value")
+        add(f"{name} countries", countries(frame), "country", "rows")
+    add("truth", truth_anomalies(truth, s1, s2, s3), "anomaly", "n")
+    add("matches", match_distribution(truth), "kind", "n")
+    add("examples", anomaly_examples(truth, s1), "kind", "example")
+    return out

@@ -114,3 +114,19 @@ def write_report(spark: SparkSession, report: DataFrame, path: str) -> None:
     """A small metric frame as one JSON document."""
     rows = [r.asDict(recursive=True) for r in report.collect()]
     spark.createDataFrame([(json.dumps(rows, default=float),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def write_manifest(frame: DataFrame, path: str, order: list[str]) -> str:
+    """A small table as one file, rewritten only if it differs; the SHA-256 of its rows, header first."""
+    import hashlib
+
+    spark = frame.sparkSession
+    rows = ["\t".join(frame.columns), *("\t".join("" if v is None else str(v) for v in r) for r in frame.sort(*order).collect())]
+    try:
+        if [r["value"] for r in spark.read.text(path, wholetext=True).collect()] == ["\n".join(rows) + "\n"]:
+            return hashlib.sha256(("\n".join(rows) + "\n").encode()).hexdigest()
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    spark.createDataFrame([("\n".join(rows),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return hashlib.sha256(("\n".join(rows) + "\n").encode()).hexdigest()
