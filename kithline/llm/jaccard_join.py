@@ -548,3 +548,23 @@ def distinct(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: that with the smallest id; rows with a null id stay, equal ids go with their component's first id."""
     keep = join(docs).where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+
+
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT rid, array_to_string(w[j:j + {SHINGLE} - 1], ' ') AS g
+  FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {SHINGLE} + 1, 1) + 1)) AS j FROM w WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+l AS (
+  SELECT a.rid AS a, b.rid AS b FROM s a JOIN s b ON a.g = b.g AND a.rid < b.rid JOIN n x ON x.rid = a.rid JOIN n y ON y.rid = b.rid
+  GROUP BY a.rid, b.rid, x.n, y.n HAVING 100 * count(*) >= {SIMILARITY} * (x.n + y.n - count(*))
+  UNION SELECT a.rid, b.rid FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.rid < b.rid),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT r.a AS rid, min(o.doc_id) AS least FROM r JOIN w o ON o.rid = r.b GROUP BY r.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CASE WHEN doc_id IS NULL THEN NULL ELSE least(doc_id, coalesce(least, doc_id)) END AS component_id
+FROM w LEFT JOIN n USING (rid) LEFT JOIN c USING (rid)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kithline.llm import decontaminate, line_dedup
+from kithline.llm import decontaminate, jaccard_join, line_dedup, suffix_dedup
 from kithline.llm.common import table
 
 
@@ -86,4 +86,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {"op8_line_dedup": line_dedup.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op6_jaccard_join": jaccard_join.ORACLE_SQL,
+    "op7_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op9_decontamination": decontaminate.ORACLE_SQL,
+}

@@ -379,3 +379,18 @@ def cut(docs: DataFrame, length: int = LENGTH, most_sent: int = MOST_SENT, group
     joined = rows.where(long).join(spans(docs, length, most_sent, group), ["k1", "k2"], "left").select("doc_id", "text", "spans")
     short = rows.where(~long).select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans"))
     return arrow_map(joined, work, schema).unionByName(arrow_map(short, work, schema))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+g AS (SELECT rid, i, md5(substr(x, 2 * i + 1, {2 * LENGTH})) AS h FROM (SELECT rid, x, unnest(range(CAST(length(x) // 2 AS BIGINT) - {LENGTH} + 1)) AS i FROM d WHERE length(x) >= {2 * LENGTH})),
+f AS (SELECT h FROM g GROUP BY h HAVING count(*) > 1),
+t AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM g SEMI JOIN f USING (h)),
+k AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + {LENGTH} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS run FROM t),
+r AS (SELECT rid, run, min(i) AS a, max(i) + {LENGTH} AS b FROM k GROUP BY rid, run),
+p AS (SELECT rid, run, a, b, lag(b, 1, 0) OVER (PARTITION BY rid ORDER BY run) AS since FROM r),
+o AS (SELECT rid, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS upto, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY run) AS head FROM p JOIN d USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || CASE WHEN upto IS NULL THEN x ELSE substr(x, 2 * upto + 1) END)) AS kept_sha256
+FROM d LEFT JOIN o USING (rid)
+"""
