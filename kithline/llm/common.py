@@ -84,11 +84,23 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, name: str = "t") -> DataFrame:
-    """The frame, written once to the shared folder and read again: cuts lineage and survives lost executors."""
+def written(df: DataFrame, name: str = "t", narrow: bool = False) -> DataFrame:
+    """The frame, written once to the shared folder and read again: cuts lineage and survives lost executors.
+
+    narrow: rows of a few numbers, which go to as few files as their size calls for
+    instead of one for each core.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}"
-    df.write.mode("errorifexists").parquet(path)
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key, "true")
+    try:
+        if narrow:
+            spark.conf.set(key, "false")
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        if narrow:
+            spark.conf.set(key, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

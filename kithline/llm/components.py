@@ -15,13 +15,13 @@ def components(edges: DataFrame) -> DataFrame:
     one step, so chains shrink by halves; every round is written to the shared
     folder. Nodes without edges are not in the result. Self loops are allowed.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges")
-    labels = last = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels")
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a is not null and b is not null").distinct(), "edges", narrow=True)
+    labels = last = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("component")), "labels", narrow=True)
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("near"))
         stepped = labels.join(near, F.col("node") == F.col("a")).select("node", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        moved = written(stepped.join(jump, F.col("next") == F.col("via")).select("node", F.least("next", "far").alias("next"), "component"), "labels")
+        moved = written(stepped.join(jump, F.col("next") == F.col("via")).select("node", F.least("next", "far").alias("next"), "component"), "labels", narrow=True)
         done = moved.where("next <> component").isEmpty()
         dropped(last)
         last = moved

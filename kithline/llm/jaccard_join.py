@@ -399,12 +399,12 @@ def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt out by its pairs' second set.
     """
     ends = pairs.select(F.col("a").alias("set"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    near = written(ends.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("near")), "near")
+    near = written(ends.groupBy("set").agg(F.least(F.col("set"), F.min("other")).alias("near")), "near", narrow=True)
     placed = (
         pairs.join(near.select(F.col("set").alias("a"), F.col("near").alias("na")), "a").join(near.select(F.col("set").alias("b"), F.col("near").alias("nb")), "b")
         .select("a", "b", F.least("na", "nb").alias("block"))
     )
-    placed = written(placed, "placed")
+    placed = written(placed, "placed", narrow=True)
     # blocks with many pairs are parted by the second set; salted rows meet a copy of the narrow list of such blocks for each salt
     parts = placed.groupBy("block").count().where(F.col("count") > BLOCK_SETS).select("block", F.ceil(F.col("count") / BLOCK_SETS).cast("int").alias("parts"))
     parts = parts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -445,14 +445,14 @@ def linked_sets(docs: DataFrame, own: DataFrame) -> DataFrame:
     hot, total = frequent(docs)
     buckets = max(8, -(-total * 32 // (100 * BUCKET_POSTINGS)))
     pair_buckets = max(8, buckets // 4)
-    known = written(distances(written(seeds(own), "seeds"), docs), "distances")
+    known = written(distances(written(seeds(own), "seeds", narrow=True), docs), "distances")
     labels = components(known.where("linked").select("a", "b"))
     met = written(meetings(postings(*named(docs, labels), hot, buckets), buckets, pair_buckets), "met")
-    fresh = written(candidates(met, pair_buckets).join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+    fresh = written(candidates(met, pair_buckets).join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates", narrow=True)
     if not fresh.isEmpty():
         known = written(known.unionByName(distances(fresh, docs)), "distances")
         labels = components(known.where("linked").select("a", "b"))
-    members = written(crowded_members(met), "members")
+    members = written(crowded_members(met), "members", narrow=True)
     if members.isEmpty():
         return labels
     more = region_links(members, labels, docs)
@@ -467,11 +467,11 @@ def region_links(members: DataFrame, labels: DataFrame, docs: DataFrame) -> Data
     in a task, whose answer is a spanning forest of the links between components.
     """
     first = members.groupBy("cell").agg(F.min("set").alias("a"))
-    regions = written(components(members.join(first, "cell").select("a", F.col("set").alias("b"))), "regions")
+    regions = written(components(members.join(first, "cell").select("a", F.col("set").alias("b"))), "regions", narrow=True)
     own = regions.select(F.col("node").alias("set"), F.col("component").alias("region")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "region", F.coalesce("component", "set").alias("component"))
     sizes = own.groupBy("region", "component").count().groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
     rows = own.join(sizes, "region").select("set", "region", "component", (F.col("component") != F.col("largest")).alias("outer"), F.ceil((F.col("size")) / REGION_SETS).cast("int").alias("parts"))
-    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")), "region-sets")
+    rows = written(rows.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")), "region-sets", narrow=True)
     if rows.isEmpty():
         return members.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
     # block (i, j): outer sets of part i against all sets of part j
@@ -532,7 +532,7 @@ def join(docs: DataFrame) -> DataFrame:
     labels = linked_sets(docs, own)
     # each set's linked component; sets without links are their own
     named = own.where("set is not null and doc_id is not null").join(labels.withColumnRenamed("node", "set"), "set", "left").select("doc_id", F.coalesce("component", "set").alias("group"))
-    least = written(named.groupBy("group").agg(F.min("doc_id").alias("least")), "least")
+    least = written(named.groupBy("group").agg(F.min("doc_id").alias("least")), "least", narrow=True)
     by_doc = named.distinct().join(least, "group").select("doc_id", "group", "least")
     # ids with several rows of different sets tie groups together
     shared = by_doc.groupBy("doc_id").agg(F.min("least").alias("least"), F.count("*").alias("groups"))
