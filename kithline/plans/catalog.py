@@ -140,7 +140,7 @@ def _ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
     for mode, more in modes.items():
         own = asked.where(keys.route(F.col("key")).isin(base + more))
-        got = retrieve.scores(own, postings, stats, link.population, with_routes=False).agg(F.count("*").alias("pairs"), F.round(F.sum("score").cast("double"), 6).alias("total_score"))
+        got = retrieve.scores(own, postings, stats, link.population, with_routes=False).agg(F.count("*").alias("pairs"), F.round(F.sum(F.round(F.col("score") * F.lit(1e12)).cast("decimal(30,0)")).cast("double") / F.lit(1e12), 6).alias("total_score"))
         got = got.select(F.lit(mode).alias("mode"), "pairs", "total_score")
         out = got if out is None else out.unionByName(got)
     return out
