@@ -10,14 +10,18 @@ has to replicate follows from the radius: a link at 0.25 leaves at most n -
 ceil(0.75 n) shingles of either side unshared, so linked documents meet in the
 cells of the first n - ceil(0.75 n) + l shingles of both, and at least l times.
 Shingles that a fixed-size sketch shows to be frequent come last in the order, so
-common lines and passages open no cells of their own.
+common lines and passages open no cells of their own. The sketch gets blunter as
+the input grows: where its cells turn out to be crowded all the same, the shingles
+of these cells are put last by name, and the cells are dealt again.
 
 *Second level.* Balls come first: sets with a common smallest hash are measured
 against the first of them, a pivot, and those within 0.25 of it are one component.
 A cell then needs only pairs of different components: members outside its largest
 component meet all others. If those are more than ``CELL`` squared, the cell goes to a
 region of cells that share sets, and the region is joined in blocks of bounded size:
-sets outside the region's largest ball component against all of its sets. No link
+sets outside the region's largest ball component against all of its sets. That
+copies each set to as many blocks as there are parts of the other side, which is
+why cells are dealt again as long as it would copy more sets than there are. No link
 between different components is lost, and links inside one need not be listed.
 
 Candidates that meet at least l times are compared on their whole sets, which
@@ -52,6 +56,8 @@ SIMILARITY = 75
 CELL, SKETCH_BITS, SLICE_BITS = 96, 23, 17
 #: Sets of either side that meet in a task, in a region of crowded cells.
 REGION_SETS = 2_000
+#: How often cells are dealt at most: again while crowded ones would copy more sets than there are.
+DEALS = 4
 #: Postings of a bucket, sets of a block, candidate classes sent as a sorted array.
 BUCKET_POSTINGS, BLOCK_SETS, MOST_SENT = 400_000, 2_000, 1_000_000
 #: Smallest hashes that seed the components; salts of blocks.
@@ -208,8 +214,8 @@ def named(docs: DataFrame, labels: DataFrame, most_sent: int = MOST_SENT) -> tup
     return arrow_map(docs.select("text").where("text is not null"), work, "text string, node bigint").join(labels, "node", "left").select("text", F.coalesce("component", "node").alias("component")), None
 
 
-def postings(texts: DataFrame, labels: tuple[np.ndarray, np.ndarray] | None, hot: np.ndarray, buckets: int) -> DataFrame:
-    """The first shingles of each set with its identity, component and size code, packed by bucket of the shingle."""
+def postings(texts: DataFrame, labels: tuple[np.ndarray, np.ndarray] | None, hot: np.ndarray, buckets: int, last: np.ndarray = np.zeros(0, np.uint64)) -> DataFrame:
+    """The first shingles of each set with its identity, component and size code, packed by bucket of the shingle. last: shingles that come last in the order, sorted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from kithline.llm.textscan import chunks
@@ -231,6 +237,8 @@ def postings(texts: DataFrame, labels: tuple[np.ndarray, np.ndarray] | None, hot
                 s, doc = s[ok], doc[ok]
                 cell = (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 late = (hot[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+                if len(last):
+                    late[last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s] = 2
                 order = np.lexsort((s, late, doc))
                 s, doc = s[order], doc[order]
                 sizes = np.where(once, n, 0)
@@ -440,6 +448,29 @@ def distances(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint, linked boolean, distance double")
 
 
+def dealt(docs: DataFrame, own: DataFrame, labels: DataFrame, hot: np.ndarray, buckets: int, pair_buckets: int, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
+    """What ``meetings`` finds, and the members of crowded cells.
+
+    Cells are dealt again, with the shingles of crowded cells last, while the blocks
+    of these cells' sets could copy more sets than there are. The order decides only
+    where sets meet, so the list may be cut to the largest cells; if crowded cells
+    remain after ``DEALS``, or hardly fewer sets are in them than before, they are
+    joined as regions all the same.
+    """
+    n, last, before = own.count(), np.zeros(0, np.uint64), float("inf")
+    for deal in range(DEALS):
+        met = written(meetings(postings(*named(docs, labels), hot, buckets, last), buckets, pair_buckets), "met")
+        members = written(crowded_members(met), "members", narrow=True)
+        sets = members.select("set").distinct().count()
+        if deal == DEALS - 1 or 2 * sets * -(-sets // REGION_SETS) <= n or len(last) >= most_sent or 4 * sets > 3 * before:
+            break
+        before = sets
+        cells = members.groupBy("cell").count().orderBy(F.desc("count"), "cell").limit(most_sent - len(last))
+        last = np.union1d(last, cells.select("cell").toPandas()["cell"].to_numpy(np.int64).view(np.uint64))
+        dropped(met), dropped(members)
+    return met, members
+
+
 def linked_sets(docs: DataFrame, own: DataFrame) -> DataFrame:
     """node (set), component for all sets that link with another. own: the classes of docs."""
     hot, total = frequent(docs)
@@ -447,12 +478,11 @@ def linked_sets(docs: DataFrame, own: DataFrame) -> DataFrame:
     pair_buckets = max(8, buckets // 4)
     known = written(distances(written(seeds(own), "seeds", narrow=True), docs), "distances")
     labels = components(known.where("linked").select("a", "b"))
-    met = written(meetings(postings(*named(docs, labels), hot, buckets), buckets, pair_buckets), "met")
+    met, members = dealt(docs, own, labels, hot, buckets, pair_buckets)
     fresh = written(candidates(met, pair_buckets).join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates", narrow=True)
     if not fresh.isEmpty():
         known = written(known.unionByName(distances(fresh, docs)), "distances")
         labels = components(known.where("linked").select("a", "b"))
-    members = written(crowded_members(met), "members", narrow=True)
     if members.isEmpty():
         return labels
     more = region_links(members, labels, docs)
@@ -469,15 +499,15 @@ def region_links(members: DataFrame, labels: DataFrame, docs: DataFrame) -> Data
     first = members.groupBy("cell").agg(F.min("set").alias("a"))
     regions = written(components(members.join(first, "cell").select("a", F.col("set").alias("b"))), "regions", narrow=True)
     own = regions.select(F.col("node").alias("set"), F.col("component").alias("region")).join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "region", F.coalesce("component", "set").alias("component"))
-    sizes = own.groupBy("region", "component").count().groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
-    rows = own.join(sizes, "region").select("set", "region", "component", (F.col("component") != F.col("largest")).alias("outer"), F.ceil((F.col("size")) / REGION_SETS).cast("int").alias("parts"))
+    sizes = own.groupBy("region", "component").count().groupBy("region").agg(F.max_by("component", F.struct("count", "component")).alias("largest"), F.sum("count").alias("size"), F.max("count").alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    rows = own.join(sizes, "region").select("set", "region", "component", (F.col("component") != F.col("largest")).alias("outer"), F.ceil(F.col("size") / REGION_SETS).cast("int").alias("parts"), F.ceil((F.col("size") - F.col("most")) / REGION_SETS).cast("int").alias("outer_parts"))
     rows = written(rows.withColumn("part", F.pmod(F.xxhash64("set"), "parts").cast("int")), "region-sets", narrow=True)
     if rows.isEmpty():
         return members.select(F.col("set").alias("a"), F.col("set").alias("b")).limit(0)
     # block (i, j): outer sets of part i against all sets of part j
-    every = F.explode(F.expr("sequence(0, parts - 1)"))
-    sent = rows.where("outer").select("region", "set", "component", F.col("part").alias("i"), every.alias("j"), F.lit(True).alias("outer"))
-    sent = sent.unionByName(rows.select("region", "set", "component", every.alias("i"), F.col("part").alias("j"), F.lit(False).alias("outer")))
+    every = lambda parts: F.explode(F.expr(f"sequence(0, {parts} - 1)"))
+    sent = rows.where("outer").select("region", "set", "component", F.expr("cast(pmod(xxhash64(set), outer_parts) as int)").alias("i"), every("parts").alias("j"), F.lit(True).alias("outer"))
+    sent = sent.unionByName(rows.select("region", "set", "component", every("outer_parts").alias("i"), F.col("part").alias("j"), F.lit(False).alias("outer")))
     sets = whole_sets(docs, rows.select("set").distinct())
     dealt = sent.join(sets, "set").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", F.desc("outer"))
 

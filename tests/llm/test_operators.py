@@ -387,6 +387,21 @@ def test_jaccard_join(spark, monkeypatch, tight):
     assert got == jaccard_brute(texts)
 
 
+def test_jaccard_join_deals_crowded_cells_again(spark, monkeypatch):
+    """A passage that the sketch can't tell from the rest must not send its documents to a region."""
+    rnd = random.Random(4)
+    passage = words(rnd, 40)
+    texts = [" ".join([f"v{rnd.randrange(9999)}" for _ in range(80)] + passage + [f"v{rnd.randrange(9999)}" for _ in range(80)]) for _ in range(150)]
+    texts += [t + " more" for t in texts[:20]]
+    for k, v in (("CELL", 4), ("SKETCH_BITS", 6), ("SLICE_BITS", 6), ("REGION_SETS", 5)):
+        monkeypatch.setattr(jaccard_join, k, v)
+    seen, links = [], jaccard_join.region_links
+    monkeypatch.setattr(jaccard_join, "region_links", lambda members, *a: seen.append(members.select("set").distinct().count()) or links(members, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, texts)).collect()}
+    assert got == jaccard_brute(texts)
+    assert sum(seen) < 40
+
+
 def test_jaccard_join_odd_tables(spark):
     assert jaccard_join.join(empty(spark)).count() == 0
     text = "a b c d e f g h"
