@@ -43,3 +43,9 @@ def test_pair_model_scores_whole_pools_of_all_queries(spark, sf_dir, monkeypatch
 def test_pools_go_beyond_20(spark, sf_dir, name):
     got = QUERIES[name](spark, sf_dir).groupBy("query_id").count().collect()
     assert len(got) == N // 3 and min(r["count"] for r in got) > 20
+
+
+@pytest.mark.parametrize("name", ["recall_at_k", "matches_subset_candidates", "ablation_families"])
+def test_pools_are_not_listed_to_be_counted(spark, sf_dir, name):
+    """Ranking all candidates in a window takes disk for every hit."""
+    assert "Window" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()

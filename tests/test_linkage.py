@@ -334,3 +334,42 @@ def test_at_k_with_singletons(spark):
     r = spark.createDataFrame([("a", "S2-1", 1), ("a", "S3-1", 2)], "query_id string, candidate_id string, rank int")
     got = evaluate.at_k(q, t, r).where("grp = 'all' and k = 20").first()
     assert got.true_links == 2 and got.oracle_macro_f05 == 1 and got.pair_recall == 1
+
+
+def pools(spark):
+    """Views of 90 records that share words and numbers, and what retrieval takes of them."""
+    import random
+
+    rnd = random.Random(8)
+    names = ["amber", "bolts", "copper", "delta", "metals", "Acme"]
+    rows = [(f"S{rnd.randint(1, 3)}-{i}", " ".join(rnd.sample(names, 2)), f"{rnd.randint(100, 112)} {rnd.choice(names)} Road", rnd.choice(["US", "India"])) for i in range(90)]
+    rows += [("S1-900", "", "", "US")]
+    data, _, keyed = frames(spark, rows)
+    postings = index.indexed_only(keyed)
+    return keyed.where("entity_id like 'S1-%'"), postings, index.statistics(postings), index.populations(data)
+
+
+@pytest.mark.parametrize("hits", [300, 10**9])
+def test_search_by_blocks_gives_the_same_pools(spark, monkeypatch, hits):
+    from kithline.operators import search
+
+    monkeypatch.setattr(search, "BLOCK_HITS", hits)
+    monkeypatch.setattr(search, "BATCH", 7)
+    parts = pools(spark)
+    row = lambda r: (r.query_id, r.candidate_id, r.score, r["rank"], tuple(sorted(r.routes)))
+    want = sorted(map(row, retrieve.ranked(retrieve.scores(*parts)).collect()))
+    assert sorted(map(row, search.searched(*parts).collect())) == want
+    assert sorted(map(row, search.searched(*parts, 3).collect())) == [r for r in want if r[3] <= 3]
+    got = {r.query_id: (r.pairs, int(r.total)) for r in search.totals(*parts).collect() if r.pairs}
+    assert got == {q: (sum(r[0] == q for r in want), sum(round(r[2] * 1e12) for r in want if r[0] == q)) for q in {r[0] for r in want}}
+
+
+def test_search_ranks_wanted_pairs_once(spark):
+    from kithline.operators import search
+
+    parts = pools(spark)
+    ranks = {(r.query_id, r.candidate_id): r["rank"] for r in retrieve.ranked(retrieve.scores(*parts)).collect()}
+    some = [*list(ranks)[::3], list(ranks)[0], ("S1-900", "S2-1"), (list(ranks)[0][0], "S2-none")]
+    only = spark.createDataFrame(some, "query_id string, candidate_id string")
+    got = [((r.query_id, r.candidate_id), r["rank"]) for r in search.searched(*parts, None, only, False).collect()]
+    assert sorted(got, key=str) == sorted(((p, ranks.get(p)) for p in set(some)), key=str)
