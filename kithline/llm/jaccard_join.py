@@ -21,7 +21,8 @@ component meet all others. If those are more than ``CELL`` squared, the cell goe
 region of cells that share sets, and the region is joined in blocks of bounded size:
 sets outside the region's largest ball component against all of its sets. That
 copies each set to as many blocks as there are parts of the other side, which is
-why cells are dealt again as long as it would copy more sets than there are. No link
+why cells are dealt again as long as it would copy more sets than there are, and why
+blocks are solved in lots. No link
 between different components is lost, and links inside one need not be listed.
 
 Candidates that meet at least l times are compared on their whole sets, which
@@ -40,6 +41,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -509,7 +511,10 @@ def region_links(members: DataFrame, labels: DataFrame, docs: DataFrame) -> Data
     sent = rows.where("outer").select("region", "set", "component", F.expr("cast(pmod(xxhash64(set), outer_parts) as int)").alias("i"), every("parts").alias("j"), F.lit(True).alias("outer"))
     sent = sent.unionByName(rows.select("region", "set", "component", every("outer_parts").alias("i"), F.col("part").alias("j"), F.lit(False).alias("outer")))
     sets = whole_sets(docs, rows.select("set").distinct())
-    dealt = sent.join(sets, "set").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", F.desc("outer"))
+    copies = rows.agg(F.sum(F.when(F.col("outer"), F.col("parts")).otherwise(0) + F.col("outer_parts"))).first()[0]
+    lots = -(-copies // max(docs.count(), 1))
+    if lots > 1:
+        sets = written(sets, "region-shingles")
 
     def solve(left: list[tuple], right: list[tuple]) -> tuple[list[int], list[int]]:
         links: tuple[list[int], list[int]] = ([], [])
@@ -553,7 +558,14 @@ def region_links(members: DataFrame, labels: DataFrame, docs: DataFrame) -> Data
         a, b = solve(left, right)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return written(dealt.mapInArrow(run, "a bigint, b bigint"), "region-links")
+    found = []
+    for lot in range(lots):
+        now = sent.where(F.pmod(F.xxhash64("region", "i", "j"), F.lit(lots)) == lot).join(sets, "set")
+        dealt = now.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j", F.desc("outer"))
+        found.append(written(dealt.mapInArrow(run, "a bigint, b bigint"), "region-links"))
+    if lots > 1:
+        dropped(sets)
+    return reduce(DataFrame.union, found)
 
 
 def join(docs: DataFrame) -> DataFrame:

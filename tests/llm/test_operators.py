@@ -402,6 +402,48 @@ def test_jaccard_join_deals_crowded_cells_again(spark, monkeypatch):
     assert sum(seen) < 40
 
 
+def test_regions_are_solved_in_lots(spark, monkeypatch):
+    """Blocks of a large region copy its sets many times; a lot of blocks may copy only about as many sets as there are documents."""
+    rnd = random.Random(9)
+    passage = words(rnd, 40)
+    texts = [" ".join([f"v{rnd.randrange(9999)}" for _ in range(20)] + passage + [f"v{rnd.randrange(9999)}" for _ in range(20)]) for _ in range(60)]
+    texts += [t + " more" for t in texts[:9]]
+    for k, v in (("CELL", 0), ("REGION_SETS", 5), ("DEALS", 1)):
+        monkeypatch.setattr(jaccard_join, k, v)
+    rows, write, classic = [], jaccard_join.written, spark._jvm.org.apache.spark.sql.classic.Dataset
+
+    def counted(df, name="t", narrow=False):
+        if name == "region-links":  # what the blocks get: the rows that the solver reads
+            rows.append(classic.ofRows(spark._jsparkSession, df._jdf.queryExecution().analyzed().children().head()).count())
+        return write(df, name, narrow)
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(frame(spark, texts)).collect()}
+    assert got == jaccard_brute(texts)
+    assert len(rows) > 1 and max(rows) <= 3 * len(texts)
+
+
+def shuffle_files(spark):
+    return [f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f]
+
+
+@pytest.mark.parametrize("write", ["kithline.llm.common:written", "kithline.operators.store:kept"])
+def test_written_frames_leave_no_shuffle_files(spark, write):
+    import importlib
+    import time
+
+    module, name = write.split(":")
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, set_to = set(shuffle_files(spark)), spark.conf.get(key, None)
+    got = getattr(importlib.import_module(module), name)(spark.range(10_000).repartition(5, "id").groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    for _ in range(20):
+        left = set(shuffle_files(spark)) - before
+        if not left:
+            break
+        time.sleep(0.3)
+    assert not left and got.count() == 7 and spark.conf.get(key, None) in (set_to, "false")
+
+
 def test_jaccard_join_odd_tables(spark):
     assert jaccard_join.join(empty(spark)).count() == 0
     text = "a b c d e f g h"
