@@ -5,12 +5,11 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kithline.functions.constants import CUTOFFS, MODEL_THRESHOLD, ORACLE_GATE, RULE_THRESHOLD, SEED
-from kithline.operators import audit, evaluate, index, keys, model, records, retrieve, rules, sampling, validate
+from kithline.operators import audit, boosting, evaluate, index, keys, model, records, retrieve, rules, sampling, validate
 from kithline.operators.store import kept
 from kithline.plans import flows
 from kithline.sources import tsv
@@ -134,13 +133,13 @@ def _train(spark: SparkSession, args: argparse.Namespace) -> int:
     best = evaluate.at_k(data.source1.select("entity_id", "country"), _truth(data), pools).where("grp = 'all' and k = -1").first()
     model.gate(best["oracle_macro_f05"], args.least_oracle)
     fitted = model.fit(flows.cached_features(data, pools, args.features), args.rounds)
-    fitted.write().save(args.out)
+    fitted.save(spark, args.out)
     print(json.dumps({"signature": model.signature(fitted)}))
     return 0
 
 
 def _score(spark: SparkSession, args: argparse.Namespace) -> int:
-    fitted = PipelineModel.load(args.model)
+    fitted = boosting.load(spark, args.model)
     if args.signature and model.signature(fitted) != args.signature:
         raise ValueError("the model is not the one that was saved")
     print(*flows.score_saved_pools(_bundle(spark, args), flows.load_pools(spark, args.pools, args.k), fitted, args.out, args.threshold))
@@ -148,7 +147,7 @@ def _score(spark: SparkSession, args: argparse.Namespace) -> int:
 
 
 def _sweep(spark: SparkSession, args: argparse.Namespace) -> int:
-    data, fitted = _bundle(spark, args), PipelineModel.load(args.model)
+    data, fitted = _bundle(spark, args), boosting.load(spark, args.model)
     scored = kept(model.predict(fitted, flows.cached_features(data, flows.load_pools(spark, args.pools), args.features)).select("query_id", "candidate_id", "rank", "probability"), "scored")
     _show(evaluate.threshold_sweep(data.source1.select("entity_id", "country"), _truth(data), scored, args.thresholds, args.cutoffs).orderBy("cutoff", "threshold"))
     return 0

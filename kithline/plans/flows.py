@@ -5,12 +5,12 @@ from __future__ import annotations
 import json
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kithline.functions.constants import FEATURES, MODEL_THRESHOLD, RULE_THRESHOLD
 from kithline.operators import audit, evaluate, features, index, keys, model, records, retrieve, rules, sampling
+from kithline.operators.boosting import Trees
 from kithline.operators.store import kept
 from kithline.sources.tsv import Bundle, IncompleteOutput, write_results, write_tsv
 
@@ -50,7 +50,7 @@ def training_rows(bundle: Bundle, pools: DataFrame) -> DataFrame:
     return pair_rows(bundle, pools).join(truth, ["query_id", "candidate_id"], "left").na.fill(0, ["label"])
 
 
-def train(bundle: Bundle, pools: DataFrame, rounds: int = 150, least_oracle: float | None = None) -> PipelineModel:
+def train(bundle: Bundle, pools: DataFrame, rounds: int = 150, least_oracle: float | None = None) -> Trees:
     """Fits the pair model after the gate on what the pools could reach at best."""
     if least_oracle is not None:
         truth = evaluate.long_form(bundle.truth, "matched_entity_ids")
@@ -59,7 +59,7 @@ def train(bundle: Bundle, pools: DataFrame, rounds: int = 150, least_oracle: flo
     return model.fit(training_rows(bundle, pools), rounds)
 
 
-def model_submission(bundle: Bundle, pools: DataFrame, fitted: PipelineModel, path: str | None = None, threshold: float = MODEL_THRESHOLD, candidates_path: str | None = None, strict: bool = False) -> DataFrame:
+def model_submission(bundle: Bundle, pools: DataFrame, fitted: Trees, path: str | None = None, threshold: float = MODEL_THRESHOLD, candidates_path: str | None = None, strict: bool = False) -> DataFrame:
     """Scores pools, accepts, and writes results for every query; with candidates_path, the pools too."""
     chosen = model.accept(model.predict(fitted, pair_rows(bundle, pools, strict)), threshold)
     out = rules.submission(bundle.source1, chosen)
@@ -109,7 +109,7 @@ def cached_features(bundle: Bundle, pools: DataFrame, path: str) -> DataFrame:
     return rows
 
 
-def score_saved_pools(bundle: Bundle, pools: DataFrame, fitted: PipelineModel, path: str, threshold: float = MODEL_THRESHOLD) -> tuple[int, int]:
+def score_saved_pools(bundle: Bundle, pools: DataFrame, fitted: Trees, path: str, threshold: float = MODEL_THRESHOLD) -> tuple[int, int]:
     """Matches and candidates of stored pools as two files below path; rows of each. Nothing is written if a query would be missing."""
     if not pools.select(F.col("query_id").alias("entity_id")).distinct().join(bundle.source1, "entity_id", "left_anti").isEmpty():
         raise IncompleteOutput("pools have queries that source 1 doesn't have")
