@@ -28,6 +28,7 @@ from kithline.operators.store import kept
 
 #: Bins of a feature (pyspark.ml's default), steps of a feature between 0 and 8, parts of a weight of 1, and groups that are worth a task.
 BINS, STEPS, PARTS, TASK_GROUPS = 32, 4096, 1 << 22, 65_536
+MOST_STEP, GROUPS = 8 * STEPS, "bins binary, w0 bigint, w1 bigint"
 
 
 @dataclass
@@ -51,16 +52,20 @@ class Trees:
         spark.createDataFrame([(self.said(),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
 
     def margins(self, bins: np.ndarray) -> np.ndarray:
-        split, at, leaf = np.array(self.split, np.int64), np.array(self.at, np.int64), np.array(self.leaf)
-        out, trees = np.zeros(len(bins)), np.arange(len(split))
+        """Trees are folded from their last level up: a node's place among the leaves is its left or right child's, by masks of bytes."""
+        split, at, leaf = np.array(self.split, np.int64), np.array(self.at, np.uint8)[:, :, None], np.array(self.leaf)
+        out = np.zeros(len(bins))
         for start in range(0, len(bins), 4096):
-            some = bins[start : start + 4096]
-            place, first = np.zeros((len(some), len(split)), np.int64), 0
-            while first < split.shape[1]:
-                node = first + place
-                place = 2 * place + (np.take_along_axis(some, split[trees, node], 1) > at[trees, node])
-                first = 2 * first + 1
-            out[start : start + 4096] = leaf[trees, place].sum(1)
+            some, own = np.ascontiguousarray(bins[start : start + 4096].T), out[start : start + 4096]
+            for nodes, above, leaves in zip(split, at, leaf):
+                right = some[nodes] > above
+                last = len(nodes) // 2
+                place, bit = right[last:].view(np.uint8), 2
+                while last:
+                    last //= 2
+                    left, other = place[0::2], place[1::2] | np.uint8(bit)
+                    place, bit = left ^ ((left ^ other) & -right[last : 2 * last + 1].view(np.uint8)), 2 * bit
+                own += leaves[place[0]]
         return out
 
 
@@ -70,16 +75,19 @@ def load(spark: SparkSession, path: str) -> Trees:
 
 def _steps(batch: pa.RecordBatch, features: list[str]) -> np.ndarray:
     """Features in steps, one row a feature."""
-    x = np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(np.float64) for f in features])
-    return np.clip(np.rint(np.nan_to_num(x) * STEPS), 0, 8 * STEPS).astype(np.int64)
+    return stepped(np.stack([batch.column(f).to_numpy(zero_copy_only=False).astype(np.float64) for f in features]))
 
 
-def _binned(steps: np.ndarray, edges: list[list[int]]) -> np.ndarray:
+def stepped(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(np.nan_to_num(x) * STEPS), 0, MOST_STEP).astype(np.int64)
+
+
+def binned(steps: np.ndarray, edges: list[list[int]]) -> np.ndarray:
     """One row of bytes a row."""
     return np.ascontiguousarray(np.stack([np.searchsorted(e, x, "left") for e, x in zip(map(np.array, edges), steps)], 1).astype(np.uint8))
 
 
-def _same(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def same(bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different rows, and the place of each row among them."""
     found, place = np.unique(bins.view(np.dtype((np.void, bins.shape[1]))).ravel(), return_inverse=True)
     return found.view(np.uint8).reshape(-1, bins.shape[1]), place
@@ -89,16 +97,21 @@ def edges(rows: DataFrame, features: list[str]) -> list[list[int]]:
     """The last steps of bins with about as many rows each; a step of its own for each value if there are few. Steps of all rows are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(features), 8 * STEPS + 1), np.int64)
+        counts = np.zeros((len(features), MOST_STEP + 1), np.int64)
         for batch in batches:
             for own, x in zip(counts, _steps(batch, features)):
                 own += np.bincount(x, minlength=len(own))
         feature, step = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(feature), pa.array(step), pa.array(counts[feature, step])], ["feature", "step", "n"])
 
-    counted = rows.select(*features).mapInArrow(run, "feature bigint, step bigint, n bigint").groupBy("feature", "step").agg(F.sum("n").alias("n")).collect()  # at most 8 * STEPS + 1 a feature
+    counted = rows.select(*features).mapInArrow(run, "feature bigint, step bigint, n bigint").groupBy("feature", "step").agg(F.sum("n").alias("n")).collect()  # at most MOST_STEP + 1 a feature
+    return cut(counted, len(features))
+
+
+def cut(counted: list, features: int) -> list[list[int]]:
+    """Bins from how many rows (n) have which step of which feature."""
     out = []
-    for i in range(len(features)):
+    for i in range(features):
         own = sorted((r["step"], r["n"]) for r in counted if r["feature"] == i)
         steps, upto = np.array([s for s, _ in own], np.int64), np.cumsum([n for _, n in own])
         if len(steps) > BINS:
@@ -113,13 +126,16 @@ def groups(rows: DataFrame, features: list[str], cuts: list[list[int]]) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, place = _same(_binned(_steps(batch, features), cuts))
+            found, place = same(binned(_steps(batch, features), cuts))
             weight = np.rint(batch.column("weight").to_numpy(zero_copy_only=False) * PARTS)
             true = batch.column("label").to_numpy(zero_copy_only=False) > 0
-            sums = [pa.array(np.bincount(place, np.where(of, weight, 0), len(found)).astype(np.int64)) for of in (~true, true)]
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), *sums], ["bins", "w0", "w1"])
+            yield grouped(found, *(np.bincount(place, np.where(of, weight, 0), len(found)) for of in (~true, true)))
+
+    return rows.select(*features, "label", "weight").mapInArrow(run, GROUPS).groupBy("bins").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
 
-    return rows.select(*features, "label", "weight").mapInArrow(run, "bins binary, w0 bigint, w1 bigint").groupBy("bins").agg(F.sum("w0").alias("w0"), F.sum("w1").alias("w1"))
+
+def grouped(found: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in found], pa.binary()), pa.array(w0.astype(np.int64)), pa.array(w1.astype(np.int64))], ["bins", "w0", "w1"])
 
 
 def _best(weight: np.ndarray, total: np.ndarray) -> tuple[list[int], list[int], np.ndarray]:
@@ -232,13 +248,22 @@ def _grown(features: int, rounds: int, depth: int, rate: float):
 def fit(rows: DataFrame, features: list[str], rounds: int, depth: int, rate: float) -> Trees:
     """rows: features, label (0 or 1) and weight. The first tree is fitted to the labels as -1 and 1, the others to the gradient of the logistic loss; leaves are weighted means."""
     cuts = edges(rows, features)
-    found = kept(groups(rows, features, cuts), "groups")
+    return grown(groups(rows, features, cuts), features, cuts, rounds, depth, rate)
+
+
+def grown(found: DataFrame, features: list[str], cuts: list[list[int]], rounds: int, depth: int, rate: float) -> Trees:
+    """The same from groups."""
+    found = kept(found, "groups")
     n = found.count()
     if not n:
         raise ValueError("there are no rows to learn from")
-    tasks = int(min(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_GROUPS)))
-    grown = found.repartition(tasks).mapInArrow(_grown(len(features), rounds, depth, rate), "trees string", barrier=True)
-    return Trees(list(features), cuts, **json.loads(grown.collect()[0]["trees"]))
+    tasks = int(min(found.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_GROUPS)))
+    trees = found.repartition(tasks).mapInArrow(_grown(len(features), rounds, depth, rate), "trees string", barrier=True)
+    return Trees(list(features), cuts, **json.loads(trees.collect()[0]["trees"]))
+
+
+def probability(margins: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-2 * np.clip(margins, -300, 300)))
 
 
 def predict(trees: Trees, rows: DataFrame) -> DataFrame:
@@ -246,8 +271,8 @@ def predict(trees: Trees, rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, place = _same(_binned(_steps(batch, trees.features), trees.edges))
-            p = 1 / (1 + np.exp(-2 * np.clip(trees.margins(found), -300, 300)))
+            found, place = same(binned(_steps(batch, trees.features), trees.edges))
+            p = probability(trees.margins(found))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p[place])], [*batch.schema.names, "probability"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("probability", DoubleType())]))
