@@ -67,14 +67,22 @@ def pools(rows: DataFrame, population: DataFrame, lists_of: DataFrame, lists: Da
 
     asked = units.select("unit", named.alias("entity_id")).join(keyed, "entity_id").select(F.col("unit").alias("entity_id"), "country", "key", "weight")
     stats = kept(stats.join(keyed.join(sizes.where("asked > 0"), "entity_id", "left_semi").select("country", "key").distinct(), ["country", "key"], "left_semi"), "stats")
-    packed = records.packed_view(views)
-    none = lambda t: F.lit(None).cast(t)
-    of_classes = packed.join(found.where("there > 0").select(named.alias("entity_id"), "members"), "entity_id").select("entity_id", F.struct("view.*", "members", none("array<string>").alias("queries"), none("string").alias("split"), none("array<string>").alias("true")).alias("view"))
-    of_units = units.withColumn("entity_id", named).join(packed.select("entity_id", "view"), "entity_id").join(lists, "g", "left").select(F.col("unit").alias("entity_id"), F.struct("view.*", none("array<struct<o bigint, id string>>").alias("members"), "queries", "split", F.col("ids").alias("true")).alias("view"))
-    more = [F.col(f"view.{c}").alias(c) for c in ("members", "queries", "split", "true")]
+    packed = views.select("entity_id", F.struct(F.col("name_core_folded").alias("name"), F.expr(T.compact("name_core_folded")).alias("compact"), F.expr(T.compact("core_skeleton")).alias("skeleton"), F.col("address_words").alias("address"), F.col("address_numbers").alias("numbers")).alias("view"))
+    empty = lambda t: F.array().cast(f"array<{t}>")  # noqa: E731; null lists are slow on their way to Python
+    of_classes = packed.join(found.where("there > 0").select(named.alias("entity_id"), "members"), "entity_id").select("entity_id", F.struct("view.*", "members", empty("string").alias("queries"), F.lit("").alias("split"), empty("string").alias("true")).alias("view"))
+    of_units = units.withColumn("entity_id", named).join(packed.select("entity_id", "view"), "entity_id").join(lists, "g", "left").select(F.col("unit").alias("entity_id"), F.struct("view.*", empty("struct<o bigint, id string>").alias("members"), "queries", "split", F.coalesce("ids", empty("string")).alias("true")).alias("view"))
     both = kept(of_classes.unionByName(of_units), "pool-views")
-    dealt = search.dealt(asked, posts, stats, population, both).withColumn("view", F.when(F.col("view").isNotNull(), records.unpacked_view(*more)))
-    return dealt.mapInArrow(_pools(k), _POOLS)
+    blank = F.struct(*(F.lit("").alias(c) for c in ("name", "compact", "skeleton")), *(empty(t).alias(c) for c, t in {"address": "string", "numbers": "string", "members": "struct<o bigint, id string>", "queries": "string"}.items()), F.lit("").alias("split"), empty("string").alias("true"))
+    return search.dealt(asked, posts, stats, population, both).withColumn("view", F.coalesce("view", blank)).mapInArrow(_pools(k), _POOLS)
+
+
+def _grams(compact: str) -> list[str]:
+    """As ``text.grams`` has them."""
+    return list(dict.fromkeys(compact[i : i + 3] for i in range(max(1, len(compact) - 2)))) if compact else []
+
+
+def _tokens(name: str) -> list[str]:
+    return list(dict.fromkeys(w for w in name.split(" ") if w))
 
 
 class _Records:
@@ -83,18 +91,25 @@ class _Records:
     def __init__(self, views: pa.Array):
         fields = dict(zip((f.name for f in views.type), views.flatten()))
         members = fields["members"]
-        self.name, self.length = fields["name"], pc.utf8_length(fields["name"]).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.names = {x: i for i, x in enumerate(pc.unique(self.name).to_pylist())}
-        self.name_at = np.array([self.names[x] for x in self.name.to_pylist()], np.int64)
+        name, skeleton = fields["name"].dictionary_encode(), fields["skeleton"].dictionary_encode()
+        names, self.name_at = name.dictionary.to_pylist(), name.indices.to_numpy().astype(np.int64)
+        self.names, self.length = {x: i for i, x in enumerate(names)}, np.array([len(x) for x in names], np.int64)[self.name_at]
+        compact = fields["compact"].take(pa.array(np.unique(self.name_at, return_index=True)[1])).to_pylist()
+        every, skeleton_at = np.arange(len(views)), skeleton.indices.to_numpy().astype(np.int64)
+        lists = lambda x: pa.array(x, pa.list_(pa.string()))
+        grams = lists([_grams(x) for x in compact]), self.name_at
+        #: Lists of the different names, skeletons and so on, and which of them a record has.
+        given = {"tokens": (lists([_tokens(x) for x in names]), self.name_at), "name_grams": grams, "skeleton_grams": (lists([_grams(x) for x in skeleton.dictionary.to_pylist()]), skeleton_at)}
+        given |= {s: (fields[s], every) for s in ("address", "numbers")}
         self.of, self.members = self._ends(members), members.flatten()
         ids, orders = self.members.field("id"), self.members.field("o")
         self.ids, self.orders = ids, pc.fill_null(orders, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
         self.third = pc.starts_with(ids, "S3-").to_numpy(zero_copy_only=False)
         self.sets, self.codes, self.marks = {}, {}, {}
-        for s in _SETS:
-            coded = fields[s].flatten().dictionary_encode()
+        for s, (values, at) in given.items():
+            coded = values.flatten().dictionary_encode()
             known = coded.dictionary.to_pylist()
-            self.sets[s] = self._ends(fields[s]), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            self.sets[s] = self._ends(values), at, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             self.codes[s], self.marks[s] = {x: i for i, x in enumerate(known)}, np.zeros(len(known), np.int64)
         #: A shared number counts 1; from bit 20 on if it has three digits, from bit 40 on if it has more.
         self.number_marks = np.array([1 + ((len(x) == 3) << 20) + ((len(x) >= 4) << 40) for x in self.codes["numbers"]], np.int64)
@@ -105,16 +120,22 @@ class _Records:
 
     def shared(self, name: str, own: list[str], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many elements the sets at these places share with the query's, and how many they have."""
-        (ends, flat), codes, marks = self.sets[name], self.codes[name], self.marks[name]
+        (ends, of, flat), codes, marks = self.sets[name], self.codes[name], self.marks[name]
         hit = np.array([codes[x] for x in own if x in codes], np.int64)
         marks[hit] = self.number_marks[hit] if name == "numbers" else 1
-        where, sizes = _spans(ends, at)
+        where, sizes = _spans(ends, of[at])
         upto = np.concatenate([[0], np.cumsum(marks[flat[where]])])
         stops = np.cumsum(sizes)
         marks[hit] = 0
         return upto[stops] - upto[stops - sizes], sizes
 
 
+def _query(view: dict[str, pa.Array]) -> dict:
+    """The name of a query, and its sets."""
+    name, compact, skeleton, address, numbers = (view[s][0].as_py() for s in ("name", "compact", "skeleton", "address", "numbers"))
+    return {"name": name, "tokens": _tokens(name), "name_grams": _grams(compact), "skeleton_grams": _grams(skeleton), "address": address, "numbers": numbers}
+
+
 def _spans(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of all elements of the lists at these places, list by list, and the lists' lengths."""
     sizes = ends[at + 1] - ends[at]
@@ -189,7 +210,7 @@ def _pools(k: int):
             order = _in_order(r, members, score[own][place])[:k]
             members, place = members[order], place[order]
             view = dict(zip((f.name for f in b.view.type), b.view.flatten()))
-            x = _compared({s: view[s][0].as_py() for s in ("name", *_SETS)}, r, at[own], score[own], score.max(), b.bits[own])
+            x = _compared(_query(view), r, at[own], score[own], score.max(), b.bits[own])
             steps = boosting.stepped(np.stack([x[f] for f in FEATURES])).T
             different, pattern = np.unique(2 * place + r.third[members], return_inverse=True)
             steps = steps[different >> 1].astype(np.uint16)

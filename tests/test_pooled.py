@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kithline.functions.constants import FEATURES
-from kithline.operators import boosting, model, pooled
+from kithline.operators import boosting, model, pooled, search
 from kithline.operators.boosting import Trees
 from kithline.plans.catalog import QUERIES, Linkage
 from kithline.sources import adapters
@@ -96,3 +96,10 @@ def test_margins_are_those_of_a_walk(spark):
 def test_digits_are_rounded_as_spark_does(spark):
     p = np.concatenate([np.array([0.0, 1.0, 0.0000005, 0.0000015, 0.1234565, 0.9999995, 2.5e-7, 0.3000005, 0.7654325]), np.random.default_rng(2).random(500)])
     assert pooled._rounded(p).tolist() == [r.x for r in spark.createDataFrame([(float(x),) for x in p], "p double").select(F.round("p", 6).alias("x")).collect()]
+
+
+def test_no_null_lists_go_to_python(spark, sf_dir):
+    """Spark takes time for a batch's null lists at each of its rows."""
+    link = Linkage(spark, sf_dir)
+    rows, _ = search._dealt(*link.parts(3), link.population, link.true_lists, True)
+    assert rows.where("items is null or parts is null or names is null").isEmpty()
